@@ -58,6 +58,15 @@ def safe_bool(text: Column) -> Column:
     return F.coalesce(F.lower(text).isin("true", "1", "yes"), F.lit(False))
 
 
+def round_even(value: Column, decimals: int) -> Column:
+    """Scaled rounding with ties to even, the way numeric array code rounds.
+
+    ``bround`` goes by the printed digits: it takes 0.575 for a tie although
+    the stored number lies below it.
+    """
+    return F.rint(value * F.lit(float(10 ** decimals))) / F.lit(float(10 ** decimals))
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery.
 

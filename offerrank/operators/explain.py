@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerrank.catalog import Catalog
-from offerrank.functions.scalar import one_row
+from offerrank.functions.scalar import one_row, round_even
 from offerrank.functions.text import factor_sentence, factor_title
 
 FACTOR_SCHEMA = "ARRAY<STRUCT<feature: STRING, value: DOUBLE, shap_value: DOUBLE, direction: STRING>>"
@@ -24,38 +24,48 @@ def strongest(factors: Column, k: int) -> Column:
         (-F.abs(f["shap_value"])).alias("key"), f["feature"].alias("feature"), f["value"].alias("value"),
         f["shap_value"].alias("shap_value")))
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda f: F.struct(
-        f["feature"].alias("feature"), F.bround(f["value"], 2).alias("value"),
-        F.bround(f["shap_value"], 3).alias("shap_value"),
+        f["feature"].alias("feature"), round_even(f["value"], 2).alias("value"),
+        (round_even(f["shap_value"], 3) + 0.0).alias("shap_value"),
         F.when(f["shap_value"] > 0, "increases").otherwise("decreases").alias("direction")))
 
 
-def rule_factors(features: DataFrame, catalog: Catalog, keep: list[str]) -> DataFrame:
-    """One map per member: offer -> contributions of its rules.
+def rule_inputs(catalog: Catalog, columns: list[str]) -> list[str]:
+    """Feature columns the rules read, each once, in catalog order."""
+    return list(dict.fromkeys(feature for _, feature in catalog.resolved_rules(columns)))
+
+
+def with_rule_factors(pairs: DataFrame, features: DataFrame, catalog: Catalog, k: int = 5) -> DataFrame:
+    """Add ``top_features`` to recommendations that carry the rule inputs.
 
     A rule score is a sum of terms, so the Shapley value of a term is the term
-    minus its mean over the members.
+    minus its mean over the members in ``features``.
     """
     resolved = catalog.resolved_rules(features.columns)
     means = features.agg(*[F.avg(rule.boost_column(feature)).alias(f"m{i}")
                            for i, (rule, feature) in enumerate(resolved)])
-    by_offer: dict[str, list[Column]] = {o: [] for o in catalog.offer_ids}
-    for i, (rule, feature) in enumerate(resolved):
-        by_offer[rule.offer_id].append(F.struct(
-            F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value"),
-            (rule.boost_column(feature) - F.col(f"_means.m{i}")).alias("shap_value")))
-    entries = [item for offer, factors in by_offer.items() if factors
-               for item in (F.lit(offer), F.array(*factors))]
-    return features.withColumn("_means", one_row(means)).select(
-        "member_id", *keep, F.create_map(*entries).alias("_factors"))
+    factors = F.lit(None)
+    for offer_id in reversed(catalog.offer_ids):
+        terms = [F.struct(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value"),
+                          (rule.boost_column(feature) - F.col(f"_means.m{i}")).alias("shap_value"))
+                 for i, (rule, feature) in enumerate(resolved) if rule.offer_id == offer_id]
+        if terms:
+            factors = F.when(F.col("offer_id") == offer_id, F.array(*terms)).otherwise(factors)
+    none = F.array().cast(FACTOR_SCHEMA)
+    return (pairs.withColumn("_means", one_row(means)).withColumn("_factors", factors)
+            .withColumn("top_features", F.coalesce(strongest(F.col("_factors"), k), none))
+            .drop("_means", "_factors"))
 
 
 def explain_rules(features: DataFrame, recs: DataFrame, catalog: Catalog, k: int = 5,
                   profile: list[str] = ()) -> DataFrame:
-    """Recommendations with their strongest rule contributions as ``top_features``."""
-    factors = rule_factors(features, catalog, list(profile))
-    none = F.array().cast(FACTOR_SCHEMA)
-    chosen = F.coalesce(strongest(F.col("_factors")[F.col("offer_id")], k), none)
-    return recs.join(factors, "member_id").withColumn("top_features", chosen).drop("_factors")
+    """Any recommendations with their strongest rule contributions.
+
+    Only the columns the rules and the profile need are joined in.
+    """
+    inputs = rule_inputs(catalog, features.columns)
+    needed = features.select("member_id", *dict.fromkeys([*profile, *inputs]))
+    explained = with_rule_factors(recs.join(needed, "member_id"), features, catalog, k)
+    return explained.select(*recs.columns, *profile, "top_features")
 
 
 def display_factors(explained: DataFrame, profile: dict[str, Column]) -> DataFrame:

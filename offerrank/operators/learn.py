@@ -85,24 +85,21 @@ class OfferModel:
     def tree_nodes(self, spark: SparkSession) -> DataFrame:
         """All tree nodes as rows of (ord, tree, weight, id, value, rows, left,
         right, feature, threshold); feature is -1 in a leaf."""
-        parts = []
-        for place, model in enumerate(self.pipeline.stages[1:]):
-            path = scratch_path(spark, "trees")
-            model.write().save(path)
-            weights = spark.createDataFrame(
-                [(i, float(w)) for i, w in enumerate(model.treeWeights)], "treeID INT, weight DOUBLE")
-            nodes = spark.read.parquet(f"{path}/data").join(F.broadcast(weights), "treeID")
-            node = F.col("nodeData")
-            parts.append(nodes.select(
-                F.lit(place).alias("ord"), F.col("treeID").alias("tree"), "weight", node["id"].alias("id"),
-                node["prediction"].alias("value"), node["rawCount"].cast("double").alias("rows"),
-                node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-                node["split"]["featureIndex"].alias("feature"),
-                F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold")))
-        nodes = parts[0]
-        for part in parts[1:]:
-            nodes = nodes.unionByName(part)
-        return nodes
+        path = scratch_path(spark, "trees")
+        models = self.pipeline.stages[1:]
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(lambda at: at[1].write().save(f"{path}/offer={at[0]}"), enumerate(models)))
+        weights = spark.createDataFrame(
+            [(place, i, float(w)) for place, m in enumerate(models) for i, w in enumerate(m.treeWeights)],
+            "ord INT, tree INT, weight DOUBLE")
+        node, split = F.col("nodeData"), F.col("nodeData.split")
+        nodes = spark.read.parquet(*[f"{path}/offer={place}/data" for place in range(len(models))]).select(
+            F.regexp_extract(F.col("_metadata.file_path"), "offer=(\\d+)", 1).cast("int").alias("ord"),
+            F.col("treeID").alias("tree"), node["id"].alias("id"), node["prediction"].alias("value"),
+            node["rawCount"].cast("double").alias("rows"), node["leftChild"].alias("left"),
+            node["rightChild"].alias("right"), split["featureIndex"].alias("feature"),
+            F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"))
+        return nodes.join(weights, ["ord", "tree"])
 
     def feature_importance(self, spark: SparkSession) -> DataFrame:
         """Mean number of splits per model for every feature, largest first."""

@@ -132,30 +132,34 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def _per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
-    """One wide aggregate, turned into rows of (feature, measures...)."""
-    row = df.agg(*[measure(F.col(c)).alias(f"{name}_{i}")
-                   for i, c in enumerate(columns) for name, measure in measures.items()])
-    entries = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in measures])
-               for i, c in enumerate(columns)]
-    return row.select(F.inline(F.array(*entries)))
+def _per_column(df: DataFrame, columns: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Measures of ``value`` for each column: rows of (feature, measures...).
+
+    The columns are turned into rows first. One narrow aggregate over them
+    compiles to compact code for any number of columns and combines map-side.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return numbers.unpivot([], columns, "feature", "value").groupBy("feature").agg(
+        *[measure.alias(name) for name, measure in measures.items()])
+
+
+def _basic_measures() -> dict[str, Column]:
+    return {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value")}
+
+
+def _null_share() -> Column:
+    return F.avg(F.col("value").isNull().cast("int"))
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, max and missing percentage of each column."""
     return _per_column(df, columns, {
-        "count": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c),
-        "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
-        "missing_pct": lambda c: F.avg(c.isNull().cast("int")) * 100})
-
-
-def monitor_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """mean, std, min, max and null rate of the numeric columns."""
-    from offerrank.operators.quality import numeric_columns
-    return _per_column(df, columns or numeric_columns(df), {
-        "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c),
-        "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double"),
-        "null_rate": lambda c: F.avg(c.isNull().cast("int"))})
+        "count": F.count("value"), **_basic_measures(), "missing_pct": _null_share() * 100})
+
+
+def monitor_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """mean, std, min, max and null rate of each column."""
+    return _per_column(df, columns, {**_basic_measures(), "null_rate": _null_share()})
 
 
 def feature_groups(features: list[str]) -> list[tuple[str, str]]:

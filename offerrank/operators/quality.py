@@ -37,16 +37,16 @@ def validate_features(df: DataFrame, names: list[str], max_null_rate: float = 0.
     """Rows of (check, column): missing features, infinite values, null rate
     above the limit."""
     numeric = set(numeric_columns(df))
-    infinite = lambda c: (F.abs(F.col(c).cast("double")) == float("inf")) if c in numeric else F.lit(False)
-    row = df.agg(
-        *[F.max(infinite(c)).alias(f"inf_{i}") for i, c in enumerate(df.columns)],
-        *[(F.avg(F.col(c).isNull().cast("int")) > max_null_rate).alias(f"null_{i}")
-          for i, c in enumerate(df.columns)])
-    finding = lambda check, c, hit: F.when(hit, F.struct(F.lit(check).alias("check"), F.lit(c).alias("column")))
-    found = [finding("missing", c, F.lit(True)) for c in names if c not in df.columns]
-    found += [finding("infinite", c, F.col(f"inf_{i}")) for i, c in enumerate(df.columns)]
-    found += [finding("high_null_rate", c, F.col(f"null_{i}")) for i, c in enumerate(df.columns)]
-    return row.select(F.inline(F.array_compact(F.array(*found))))
+    # other types only need to show whether they are null
+    marks = df.select(*[(F.col(c).cast("double") if c in numeric else F.when(F.col(c).isNotNull(), F.lit(0.0))).alias(c)
+                        for c in df.columns])
+    found = marks.unpivot([], df.columns, "column", "value").groupBy("column").agg(
+        F.max(F.abs("value") == float("inf")).alias("infinite"),
+        (F.avg(F.col("value").isNull().cast("int")) > max_null_rate).alias("high_null_rate"))
+    findings = found.unpivot(["column"], ["infinite", "high_null_rate"], "check", "hit").where("hit")
+    missing = df.sparkSession.createDataFrame(
+        [("missing", c) for c in names if c not in df.columns], "check STRING, column STRING")
+    return findings.select("check", "column").unionByName(missing)
 
 
 def check_drift(baseline: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -69,8 +69,8 @@ class DriftMonitor:
         self.path = path
 
     def set_baseline(self, df: DataFrame, columns: list[str] | None = None) -> None:
-        monitor_stats(df, columns).write.mode("overwrite").parquet(self.path)
+        monitor_stats(df, columns or numeric_columns(df)).write.mode("overwrite").parquet(self.path)
 
     def check(self, df: DataFrame, threshold: float = 0.1) -> DataFrame:
         baseline = df.sparkSession.read.parquet(self.path)
-        return check_drift(baseline, monitor_stats(df), threshold)
+        return check_drift(baseline, monitor_stats(df, numeric_columns(df)), threshold)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerrank.catalog import Catalog
-from offerrank.functions.scalar import within_days
+from offerrank.functions.scalar import round_even, within_days
 from offerrank.operators.scoring import rule_score_columns, score_array
 
 
@@ -40,7 +40,7 @@ def _ranked_rows(df: DataFrame, chosen: Column, keep: list[str]) -> DataFrame:
     rows = df.select(*keep, F.posexplode(chosen).alias("_place", "_pick"))
     return rows.select(*keep, (F.col("_place") + 1).alias("rank"),
                        F.col("_pick.offer_id").alias("offer_id"),
-                       F.bround(F.col("_pick.score"), 2).alias("priority_score"))
+                       round_even(F.col("_pick.score"), 2).alias("priority_score"))
 
 
 def top_offers(scored: DataFrame, n: int, keep: list[str] = ("member_id",)) -> DataFrame:
@@ -52,7 +52,7 @@ def top_offers_long(scores: DataFrame, n: int) -> DataFrame:
     """The same over long scores (member_id, offer_id, ord, score)."""
     place = Window.partitionBy("member_id").orderBy(F.desc("score"), "ord")
     return (scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)
-            .select("member_id", "rank", "offer_id", F.bround("score", 2).alias("priority_score")))
+            .select("member_id", "rank", "offer_id", round_even(F.col("score"), 2).alias("priority_score")))
 
 
 def recommend(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_score: float | None = 30.0,
@@ -64,7 +64,7 @@ def recommend(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_score: fl
     """
     chosen = F.slice(best_first(F.col("scores")), 1, 2 * top_n)
     if min_score:
-        chosen = F.filter(chosen, lambda s: F.bround(s["score"], 2) >= min_score)
+        chosen = F.filter(chosen, lambda s: round_even(s["score"], 2) >= min_score)
     if exclude_categories:
         banned = catalog.ids_in_categories(exclude_categories)
         chosen = F.filter(chosen, lambda s: ~s["offer_id"].isin(banned))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
-from offerrank.functions.scalar import bin_label, one_row
+from offerrank.functions.scalar import bin_label, one_row, round_even
 from offerrank.operators.quantiles import quantile_row
 
 
@@ -64,7 +64,7 @@ def recommendation_summary(recs: DataFrame) -> DataFrame:
 
 def recommendation_report(recs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The summary as long rows of (section, label, value)."""
-    rounded = lambda c: F.bround(F.col(c).cast("double"), 4)
+    rounded = lambda c: round_even(F.col(c).cast("double"), 4)
     overview = recommendation_summary(recs)
     measures = ["total_recommendations", "unique_members", "unique_offers", "avg_per_member",
                 "mean_score", "std_score", "min_score", "max_score", "median_score"]

@@ -100,20 +100,23 @@ def normalize_scores(df: DataFrame, column: str, method: str = "minmax",
     return df.withColumn("_stats", one_row(stats)).withColumn(output, value).drop("_stats")
 
 
-def standard_scale_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with mean and population deviation of each column.
+class StandardScaler:
+    """Scale columns to mean 0 and population deviation 1.
 
-    A constant column gets deviation 1, so that scaling maps it to 0.
+    A constant column gets deviation 1, so that scaling maps it to 0. Fitting
+    brings two numbers per column to the driver, as any fitted model does.
     """
-    sd = lambda c: F.stddev_pop(c)
-    return df.agg(*[
-        F.struct(F.avg(c).alias("mean"), F.when(sd(c) == 0, F.lit(1.0)).otherwise(sd(c)).alias("sd")).alias(c)
-        for c in columns])
-
-
-def standard_scale(df: DataFrame, columns: list[str], stats: DataFrame | None = None) -> DataFrame:
-    """Scale columns to mean 0 and deviation 1, with given or own statistics."""
-    row = one_row(stats if stats is not None else standard_scale_stats(df, columns))
-    return df.withColumn("_stats", row).withColumns({
-        c: (F.col(c) - F.col(f"_stats.{c}.mean")) / F.col(f"_stats.{c}.sd") for c in columns
-    }).drop("_stats")
+
+    def __init__(self, moments: dict[str, tuple[float, float]]):
+        self.moments = moments
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: list[str]) -> "StandardScaler":
+        numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        rows = (numbers.unpivot([], columns, "column", "value").groupBy("column")
+                .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).collect())
+        return cls({row["column"]: (row["mean"], row["sd"] or 1.0) for row in rows})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(sd)
+                               for c, (mean, sd) in self.moments.items()})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
-from offerrank.functions.scalar import one_row
+from offerrank.functions.scalar import one_row, round_even
 from offerrank.operators.quantiles import quantile_row
 
 
@@ -34,7 +34,7 @@ def segment_summary(segmented: DataFrame) -> DataFrame:
              "avg_risk_score": "risk_score"}
     folded = segmented.groupBy("segment").agg(
         F.count("member_id").alias("members"), F.count(F.lit(1)).alias("_rows"),
-        *[F.bround(F.avg(c), 2).alias(name) for name, c in means.items()])
+        *[round_even(F.avg(c), 2).alias(name) for name, c in means.items()])
     total = segmented.agg(F.count(F.lit(1)).alias("n"))
-    return folded.withColumn("pct", F.bround(F.col("members") / one_row(total)["n"] * 100, 1)).drop("_rows") \
+    return folded.withColumn("pct", round_even(F.col("members") / one_row(total)["n"] * 100, 1)).drop("_rows") \
         .orderBy(F.desc("members"), "segment")

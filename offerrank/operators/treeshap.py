@@ -13,7 +13,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -78,13 +78,19 @@ def shapley_values(leaves: dict[int, tuple], x: np.ndarray) -> np.ndarray:
     return phi
 
 
-def explain_trees(model: OfferModel, features: DataFrame, recs: DataFrame, k: int = 5) -> DataFrame:
+def feature_vector(model: OfferModel) -> Column:
+    """The model inputs as one array, to travel with the recommendations."""
+    return F.array(*[F.col(c).cast("double") for c in model.feature_names])
+
+
+def explain_trees(model: OfferModel, pairs: DataFrame, k: int = 5) -> DataFrame:
     """Recommendations with their strongest feature contributions.
 
-    Only recommended pairs are explained. Executors get the trees of all
-    offers; their number is set by the model settings and checked here.
+    ``pairs`` are recommendations with the array of model inputs as ``x``; only
+    these pairs are explained. Executors get the trees of all offers; their
+    number is set by the model settings and checked here.
     """
-    spark = recs.sparkSession
+    spark = pairs.sparkSession
     nodes = model.tree_nodes(spark).limit(MAX_TREE_NODES + 1).toPandas()
     if len(nodes) > MAX_TREE_NODES:
         raise ValueError(f"the model has more than {MAX_TREE_NODES} tree nodes")
@@ -99,12 +105,8 @@ def explain_trees(model: OfferModel, features: DataFrame, recs: DataFrame, k: in
                 phi[at] = shapley_values(shared.value[offer_id], x[at])
             yield batch.assign(phi=list(phi))
 
-    vector = F.array(*[F.col(c).cast("double") for c in model.feature_names])
-    pairs = recs.join(features.select("member_id", vector.alias("x")), "member_id")
-    explained = pairs.mapInPandas(contributions, StructType([*pairs.schema, StructField("phi", pairs.schema["x"].dataType)]))
-    names = F.lit(model.feature_names)
-    factors = F.transform(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"),
-                                       F.col("phi").alias("shap_value")),
-                          lambda z: F.struct(z["feature"].alias("feature"), z["value"].alias("value"),
-                                             z["shap_value"].alias("shap_value")))
-    return explained.withColumn("top_features", strongest(factors, k)).drop("x", "phi")
+    schema = StructType([*pairs.schema, StructField("phi", pairs.schema["x"].dataType)])
+    zipped = F.arrays_zip(F.lit(model.feature_names).alias("feature"), F.col("x").alias("value"),
+                          F.col("phi").alias("shap_value"))
+    explained = pairs.mapInPandas(contributions, schema)
+    return explained.withColumn("top_features", strongest(zipped, k)).drop("x", "phi")

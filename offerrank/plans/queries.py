@@ -13,7 +13,7 @@ from offerrank.functions.scalar import bin_label, safe_bool, safe_float, safe_in
 from offerrank.functions.text import member_text, offer_prompt, summary_prompt
 from offerrank.operators import explain, features, feedback, learn, profile, quality, ranking, reports, scoring
 from offerrank.operators.segments import member_segments, segment_summary
-from offerrank.operators.treeshap import explain_trees
+from offerrank.operators.treeshap import explain_trees, feature_vector
 from offerrank.plans.workspace import Pipeline
 from offerrank.session import scratch_path
 from offerrank.sources import tables
@@ -21,6 +21,7 @@ from offerrank.sources.fixtures import FEEDBACK_SQL, MEMBERS_SQL, REFERENCE_TS,
 from offerrank.streaming import jobs
 
 TREE_ROUNDS, TREE_DEPTH = 3, 3  # small models keep the registered learning queries short
+TIE_SHIFT = 2.5e-8
 LOOKUP_MEMBER = "MBR_00000042"
 
 _pipelines: dict[tuple[str, str], Pipeline] = {}
@@ -65,9 +66,13 @@ def _model(p: Pipeline) -> learn.OfferModel:
 
 # --- output shaping: doubles rounded, times as text, flags as integers --------
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles, so that summation order does not show in the last bits."""
+    """Round doubles, so that summation order does not show in the last bits.
+
+    Means of amounts often end in a 5 just behind the last digit; the small
+    shift keeps such ties from falling either way.
+    """
     doubles = [f.name for f in df.schema if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + F.lit(TIE_SHIFT), digits) + F.lit(0.0) for c in doubles})
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -175,6 +180,13 @@ def gbt_recommendations(p: Pipeline) -> DataFrame:
     return ranking.recommend(_model(p).predict(p.features), p.catalog, 5, 25.0)
 
 
+def tree_explanations(p: Pipeline) -> DataFrame:
+    model = _model(p)
+    inputs = p.features.withColumn("x", feature_vector(model))
+    pairs = ranking.recommend(model.predict(inputs, ["member_id", "x"]), p.catalog, 5, 25.0, keep=["member_id", "x"])
+    return factor_rows(explain_trees(model, pairs))
+
+
 def adjusted_scores(p: Pipeline) -> DataFrame:
     return feedback.adjust_targets(scoring.rule_scores(p.features, p.catalog),
                                    feedback.decided(p.tables["feedback"]))
@@ -235,8 +247,8 @@ def member_export(p: Pipeline) -> DataFrame:
 
 
 def factors_roundtrip(p: Pipeline) -> DataFrame:
-    """Factors to JSON and back; every seventh text is broken on purpose."""
-    text = F.when(F.crc32(F.col("member_id")) % 7 == 0, F.lit("{broken")).otherwise(F.col("shap_factors"))
+    """Factors to JSON and back; the text of one member in ten is broken on purpose."""
+    text = F.when(F.col("member_id").endswith("7"), F.lit("{broken")).otherwise(F.col("shap_factors"))
     parsed = p.consolidated().select("member_id", "offer_id", explain.parse_factors(text).alias("f"))
     return parsed.select("member_id", "offer_id", F.size("f").alias("n_factors"),
                          F.get("f", F.lit(0))["feature"].alias("first_feature"),
@@ -316,7 +328,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "rule_boosts": lambda p: scoring.rule_boosts(p.features, p.catalog),
         "training_data": _training,
         "train_test_split": train_test,
-        "standard_scale": lambda p: scoring.standard_scale(p.features, fx),
+        "standard_scale": lambda p: scoring.StandardScaler.fit(p.features, fx).transform(p.features),
         **{f"normalize_{m}": (lambda m: lambda p: scoring.normalize_scores(
             scoring.rule_scores(p.features, p.catalog), "score", m).select("member_id", "offer_id", "normalized"))(m)
            for m in ("minmax", "zscore", "percentile")},
@@ -376,7 +388,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "members_without_feedback": lambda p: feedback.without_feedback(
             p.features.select("member_id"), feedback.decided(p.tables["feedback"])),
         "feedback_oversampled": lambda p: feedback.oversample_feedback(
-            p.features.select("member_id"), feedback.decided(p.tables["feedback"])),
+            p.features.select("member_id"), feedback.decided(p.tables["feedback"]), weight=0.9),
         # learning
         "regression_metrics": lambda p: learn.regression_metrics(p.offer_means()),
         "rmse_by_offer": lambda p: learn.rmse_by_offer(p.offer_means()),
@@ -385,7 +397,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "gbt_train_metrics": gbt_train_metrics,
         "gbt_recommendations": gbt_recommendations,
         "feature_importance": lambda p: _model(p).feature_importance(p.spark),
-        "tree_explanations": lambda p: factor_rows(explain_trees(_model(p), p.features, gbt_recommendations(p))),
+        "tree_explanations": tree_explanations,
         "challenger_metrics": challenger_metrics,
     }
 

@@ -46,7 +46,14 @@ class Pipeline:
 
     def explanations(self, k: int = 5) -> DataFrame:
         """Recommendations with factors and the member profile columns."""
-        return explain.explain_rules(self.features, self.recommendations(), self.catalog, k, explain.PROFILE)
+        # the rule inputs ride along with the ranked offers: no join, no shuffle
+        carried = ["member_id", *dict.fromkeys(
+            [*explain.PROFILE, *explain.rule_inputs(self.catalog, self.features.columns)])]
+        scored = ranking.with_rule_scores(self.features, self.catalog)
+        recs = ranking.recommend(scored, self.catalog, 5, 25.0, keep=carried)
+        explained = explain.with_rule_factors(recs, self.features, self.catalog, k)
+        return explained.select("member_id", "rank", "offer_id", "offer_name", "category", "priority_score",
+                                "description", *explain.PROFILE, "top_features")
 
     def consolidated(self) -> DataFrame:
         return explain.consolidate(self.explanations(), self.reference_ts)
