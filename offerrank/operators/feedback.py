@@ -105,7 +105,8 @@ def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = _fold_runs(np.cumsum(changed), maps)
         result = table.take(pa.array(np.flatnonzero(changed)))
         for i, name in enumerate(("shift", "low", "high")):
-            result = result.set_column(result.schema.get_field_index(name), name, pa.array(folded[:, i]))
+            at = table.schema.get_field_index(name)
+            result = result.set_column(at, table.schema.field(at), pa.array(folded[:, i]))
         pending = result.slice(result.num_rows - 1)
         if result.num_rows > 1:
             yield from result.slice(0, result.num_rows - 1).combine_chunks().to_batches()

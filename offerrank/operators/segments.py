@@ -28,13 +28,16 @@ def member_segments(features: DataFrame) -> DataFrame:
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:
-    """Size, share and means of each segment."""
+    """Size, share and means of each segment.
+
+    Rounding to nine digits first keeps the summation order out of the ties.
+    """
     means = {"avg_age": "age", "avg_claims": "total_claims_count", "avg_claim_amount": "total_claims_amount",
              "avg_utilization": "avg_utilization_rate", "avg_engagements": "total_engagements",
              "avg_risk_score": "risk_score"}
     folded = segmented.groupBy("segment").agg(
         F.count("member_id").alias("members"), F.count(F.lit(1)).alias("_rows"),
-        *[round_even(F.avg(c), 2).alias(name) for name, c in means.items()])
+        *[round_even(F.round(F.avg(c), 9), 2).alias(name) for name, c in means.items()])
     total = segmented.agg(F.count(F.lit(1)).alias("n"))
     return folded.withColumn("pct", round_even(F.col("members") / one_row(total)["n"] * 100, 1)).drop("_rows") \
         .orderBy(F.desc("members"), "segment")

@@ -473,7 +473,7 @@ QUERIES: dict[str, str] = {
         + " OR ".join(f"contains(feature, '{w}')" for w in words) for g, words in fv.FEATURE_GROUPS.items()),
     "member_segments": "SELECT member_id, segment FROM segmented",
     "segment_summary": "SELECT segment, count(member_id) AS members, " + ", ".join(
-        f"round_even(avg({c}), 2) AS {n}" for n, c in (
+        f"round_even(round(avg({c}), 9), 2) AS {n}" for n, c in (
             ("avg_age", "age"), ("avg_claims", "total_claims_count"), ("avg_claim_amount", "total_claims_amount"),
             ("avg_utilization", "avg_utilization_rate"), ("avg_engagements", "total_engagements"),
             ("avg_risk_score", "risk_score")))

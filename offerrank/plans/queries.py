@@ -15,7 +15,7 @@ from offerrank.operators import explain, features, feedback, learn, profile, qua
 from offerrank.operators.segments import member_segments, segment_summary
 from offerrank.operators.treeshap import explain_trees, feature_vector
 from offerrank.plans.workspace import Pipeline
-from offerrank.session import scratch_path
+from offerrank.session import scratch_path, ship_package
 from offerrank.sources import tables
 from offerrank.sources.fixtures import FEEDBACK_SQL, MEMBERS_SQL, REFERENCE_TS, VIEWS, fixture
 from offerrank.streaming import jobs
@@ -42,6 +42,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
     """The pipeline of this session and folder; queries share its feature table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if _key(spark, sf_dir) not in _pipelines:
+        ship_package(spark)
         inputs = {view: fixture(spark, sf_dir, view) for view in VIEWS}
         _pipelines[_key(spark, sf_dir)] = Pipeline(inputs, REFERENCE_TS)
     return _pipelines[_key(spark, sf_dir)]

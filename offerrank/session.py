@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    The two operators that run Python in tasks need it there, whether or not
+    the package is installed on the workers.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="offerrank-"), "offerrank")
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "offerrank"))
+        _shipped.add(app)
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20) -> None:
+    """Start shuffles with about ``target_bytes`` of input per partition.
+
+    Adaptive execution merges partitions that turn out small, so the first
+    number only has to be large enough.
+    """
+    wanted = min(100_000, max(8, -(-input_bytes // target_bytes)))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; every executor can reach it.
 
