@@ -39,12 +39,15 @@ class Rule:
         stem = self.name.replace("_boost", "")
         return next((c for c in (stem, f"{stem}_encoded", f"has_{stem}") if c in available), None)
 
-    def boost_column(self, feature: str) -> Column:
-        value = F.col(feature)
+    def boost_sql(self, feature: str) -> str:
+        """What the rule adds, as a SQL expression."""
         if self.kind == "scale":
-            return F.coalesce(value, F.lit(0)) * F.lit(self.boost)
-        holds = value >= self.threshold if self.kind == "min" else value <= self.threshold
-        return F.when(holds, F.lit(self.boost)).otherwise(F.lit(0.0))
+            return f"coalesce(`{feature}`, 0) * {float(self.boost)}D"
+        holds = f"`{feature}` {'>=' if self.kind == 'min' else '<='} {float(self.threshold)}D"
+        return f"CASE WHEN {holds} THEN {float(self.boost)}D ELSE 0D END"
+
+    def boost_column(self, feature: str) -> Column:
+        return F.expr(self.boost_sql(feature))
 
 
 class Catalog:

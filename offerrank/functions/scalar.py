@@ -71,11 +71,20 @@ def one_row(df: DataFrame) -> Column:
     """A one-row frame as a struct-valued scalar subquery.
 
     Attaching global statistics this way needs neither a collect on the driver
-    nor a join; Spark runs the subquery once and treats it as a constant.
+    nor a join; Spark runs the subquery once and treats it as a constant. Meant
+    for a few values: every field that is used is planned as its own subquery.
     """
     return df.select(F.struct("*")).scalar()
 
 
+def fitted(df: DataFrame) -> dict[str, float | None]:
+    """The values of a one-row frame of statistics, brought to the driver.
+
+    Meant for fitted constants that go into wide projections (medians, means).
+    """
+    return df.first().asDict()
+
+
 def fixed_point(value: Column, decimals: int) -> Column:
     """Text with exactly ``decimals`` digits, ties to even (no grouping)."""
     return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))

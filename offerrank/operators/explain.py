@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerrank.catalog import Catalog
-from offerrank.functions.scalar import one_row, round_even
-from offerrank.functions.text import factor_sentence, factor_title
+from offerrank.functions.scalar import fitted, round_even
+from offerrank.functions.text import factor_family, factor_sentence, factor_title
 
 FACTOR_SCHEMA = "ARRAY<STRUCT<feature: STRING, value: DOUBLE, shap_value: DOUBLE, direction: STRING>>"
+TERM_SCHEMA = "ARRAY<STRUCT<feature: STRING, value: DOUBLE, shap_value: DOUBLE>>"
 PROFILE = ["age", "risk_score", "chronic_condition_count", "total_claims_count", "total_engagements",
            "is_senior", "has_diabetes", "has_cardiovascular", "has_respiratory", "has_mental_health",
            "is_complex_patient", "tenure_months", "high_risk_flag", "avg_utilization_rate",
@@ -23,7 +24,7 @@ def strongest(factors: Column, k: int) -> Column:
     keyed = F.transform(factors, lambda f: F.struct(
         (-F.abs(f["shap_value"])).alias("key"), f["feature"].alias("feature"), f["value"].alias("value"),
         f["shap_value"].alias("shap_value")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda f: F.struct(
+    return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda f: F.struct(
         f["feature"].alias("feature"), round_even(f["value"], 2).alias("value"),
         (round_even(f["shap_value"], 3) + 0.0).alias("shap_value"),
         F.when(f["shap_value"] > 0, "increases").otherwise("decreases").alias("direction")))
@@ -41,19 +42,16 @@ def with_rule_factors(pairs: DataFrame, features: DataFrame, catalog: Catalog, k
     minus its mean over the members in ``features``.
     """
     resolved = catalog.resolved_rules(features.columns)
-    means = features.agg(*[F.avg(rule.boost_column(feature)).alias(f"m{i}")
-                           for i, (rule, feature) in enumerate(resolved)])
-    factors = F.lit(None)
+    means = fitted(features.agg(*[F.avg(rule.boost_column(feature)).alias(str(i))
+                                  for i, (rule, feature) in enumerate(resolved)]))
+    factors = F.array().cast(TERM_SCHEMA)
     for offer_id in reversed(catalog.offer_ids):
-        terms = [F.struct(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("value"),
-                          (rule.boost_column(feature) - F.col(f"_means.m{i}")).alias("shap_value"))
+        terms = [f"named_struct('feature', '{feature}', 'value', CAST(`{feature}` AS DOUBLE), 'shap_value', "
+                 f"{rule.boost_sql(feature)} - CAST({means[str(i)] or 0.0!r} AS DOUBLE))"
                  for i, (rule, feature) in enumerate(resolved) if rule.offer_id == offer_id]
         if terms:
-            factors = F.when(F.col("offer_id") == offer_id, F.array(*terms)).otherwise(factors)
-    none = F.array().cast(FACTOR_SCHEMA)
-    return (pairs.withColumn("_means", one_row(means)).withColumn("_factors", factors)
-            .withColumn("top_features", F.coalesce(strongest(F.col("_factors"), k), none))
-            .drop("_means", "_factors"))
+            factors = F.when(F.col("offer_id") == offer_id, F.expr(f"array({', '.join(terms)})")).otherwise(factors)
+    return pairs.withColumn("top_features", strongest(factors, k))
 
 
 def explain_rules(features: DataFrame, recs: DataFrame, catalog: Catalog, k: int = 5,
@@ -68,15 +66,21 @@ def explain_rules(features: DataFrame, recs: DataFrame, catalog: Catalog, k: int
     return explained.select(*recs.columns, *profile, "top_features")
 
 
-def display_factors(explained: DataFrame, profile: dict[str, Column]) -> DataFrame:
-    """One row per factor with the reader-facing name and sentence."""
-    rows = explained.select("*", F.posexplode("top_features").alias("_place", "_factor"))
-    feature, value = F.col("_factor.feature"), F.col("_factor.value")
+def display_factors(explained: DataFrame, names: list[str], profile: dict[str, Column]) -> DataFrame:
+    """One row per factor with the reader-facing name and sentence.
+
+    ``names`` are the possible features. What depends on the name alone is
+    computed once per name, in a table as long as that list.
+    """
+    feature = F.col("feature")
+    known = explained.sparkSession.createDataFrame([(n,) for n in names], "feature STRING").select(
+        "feature", factor_title(feature).alias("title"), factor_family(feature).alias("_family"))
+    rows = explained.select("*", F.posexplode("top_features").alias("_place", "_factor")).select(
+        "*", F.col("_factor.feature").alias("feature"))
     supports = F.col("_factor.direction") == "increases"
-    return rows.select(
-        "member_id", "rank", "offer_id", (F.col("_place") + 1).alias("factor_rank"),
-        feature.alias("feature"), factor_title(feature).alias("title"),
-        factor_sentence(feature, value, supports, profile).alias("sentence"))
+    return rows.join(F.broadcast(known), "feature").select(
+        "member_id", "rank", "offer_id", (F.col("_place") + 1).alias("factor_rank"), "feature", "title",
+        factor_sentence(F.col("_family"), F.col("_factor.value"), supports, profile).alias("sentence"))
 
 
 def profile_columns() -> dict[str, Column]:
@@ -101,7 +105,7 @@ def nested_export(explained: DataFrame) -> DataFrame:
             "is_senior", "has_diabetes", "has_cardiovascular", "has_respiratory",
             "has_mental_health", "is_complex_patient")])
     return explained.groupBy("member_id").agg(
-        profile.alias("profile"), F.array_sort(F.collect_list(rec)).alias("recommendations"))
+        profile.alias("profile"), F.sort_array(F.collect_list(rec)).alias("recommendations"))
 
 
 def flatten_export(nested: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
-from offerrank.functions.scalar import bin_label, elapsed_days, flag, one_row, within_days
+from offerrank.functions.scalar import bin_label, elapsed_days, fitted, flag, within_days
 from offerrank.operators.encode import LabelEncoder
 from offerrank.operators.quantiles import quantile_row
 from offerrank.session import materialize
@@ -188,18 +188,13 @@ def fill_rule(name: str) -> str:
 
 
 def fill_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill numeric columns by name; medians come from the same frame."""
+    """Fill numeric columns by name; medians are fitted on the same frame."""
     by_median = [c for c in columns if fill_rule(c) == "median"]
-    filled = df
-    if by_median:
-        medians = quantile_row(df, {c: (c, 0.5) for c in by_median})
-        filled = df.withColumn("_median", one_row(medians))
-    fills = {"zero": lambda c: F.lit(0), "no_activity": lambda c: F.lit(fv.NO_ACTIVITY_DAYS),
-             "median": lambda c: F.col(f"_median.{c}")}
+    medians = fitted(quantile_row(df, {c: (c, 0.5) for c in by_median})) if by_median else {}
+    fills = {"zero": lambda c: 0, "no_activity": lambda c: fv.NO_ACTIVITY_DAYS, "median": medians.get}
     types = {f.name: f.dataType for f in df.schema}
-    return filled.withColumns({
-        c: F.coalesce(F.col(c), fills[fill_rule(c)](c).cast(types[c])) for c in columns
-    }).drop("_median")
+    return df.withColumns({
+        c: F.coalesce(F.col(c), F.lit(fills[fill_rule(c)](c)).cast(types[c])) for c in columns})
 
 
 class FeatureBuilder:

@@ -132,7 +132,7 @@ def feedback_adjustments(feedback: DataFrame, approved: float = fv.APPROVED_BOOS
     order = [F.col("member_id"), F.col("offer_id"), F.desc("latest"), F.desc("latest_id")]
     stretches = (steps.repartitionByRange(*order).sortWithinPartitions(*order)
                  .mapInArrow(_fold_sorted, ADJUSTMENT_SCHEMA))
-    parts = F.array_sort(F.collect_list(F.struct(
+    parts = F.sort_array(F.collect_list(F.struct(
         (-F.unix_micros("latest")).alias("age"), (-F.col("latest_id")).alias("id"), "shift", "low", "high")))
     start = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     limit = lambda x, p: F.greatest(p["low"], F.least(p["high"], x))

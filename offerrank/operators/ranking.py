@@ -18,10 +18,7 @@ from offerrank.operators.scoring import rule_score_columns, score_array
 
 def best_first(scores: Column) -> Column:
     """Score structs by falling score, then catalog order."""
-    keyed = F.transform(scores, lambda s: F.struct(
-        (-s["score"]).alias("key"), s["ord"].alias("ord"),
-        s["offer_id"].alias("offer_id"), s["score"].alias("score")))
-    return F.array_sort(keyed)
+    return F.sort_array(scores, asc=False)
 
 
 def enrich(recs: DataFrame, catalog: Catalog) -> DataFrame:
@@ -117,7 +114,7 @@ def apply_business_rules(recs: DataFrame, rules: dict, engagement: DataFrame | N
 
 def campaign_offers(recs: DataFrame, n: int = 3) -> DataFrame:
     """Names of the first ``n`` offers of each member as one text."""
-    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "offer_name"))), 1, n),
+    names = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rank", "offer_name"))), 1, n),
                         lambda r: r["offer_name"])
     return (recs.where(F.col("rank").isNotNull()).groupBy("member_id")
             .agg(F.array_join(names, ", ").alias(f"top_{n}_offers")))

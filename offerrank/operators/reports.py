@@ -121,7 +121,7 @@ def member_profile(member_id: str, features: DataFrame, recs: DataFrame) -> Data
             F.col("total_engagements").cast("int").alias("total_engagements")).alias("features"))
     rec = F.struct(*[c for c in recs.columns if c != "member_id"])
     offers = (recs.where(F.col("member_id") == member_id).groupBy("member_id")
-              .agg(F.array_sort(F.collect_list(rec)).alias("recommendations")))
+              .agg(F.sort_array(F.collect_list(rec)).alias("recommendations")))
     asked = recs.sparkSession.createDataFrame([(member_id,)], "member_id STRING")
     found = F.col("features").isNotNull()
     return (asked.join(chosen, "member_id", "left").join(offers, "member_id", "left")

@@ -29,10 +29,9 @@ def rule_score_columns(columns: list[str], catalog: Catalog, noise_sd: float = 0
     resolved = catalog.resolved_rules(columns)
     scores = {}
     for offer in catalog.offers:
-        total = F.lit(float(offer.base_score))
-        for rule, feature in resolved:
-            if rule.offer_id == offer.offer_id:
-                total = total + rule.boost_column(feature)
+        terms = [f"{float(offer.base_score)}D"] + [
+            rule.boost_sql(feature) for rule, feature in resolved if rule.offer_id == offer.offer_id]
+        total = F.expr(" + ".join(terms))
         if noise_sd:
             total = total + hash_noise(offer.offer_id, noise_sd, seed)
         scores[offer.offer_id] = clip_score(total)
@@ -40,10 +39,14 @@ def rule_score_columns(columns: list[str], catalog: Catalog, noise_sd: float = 0
 
 
 def score_array(scores: dict[str, Column]) -> Column:
-    """ARRAY<STRUCT<offer_id, ord, score>> in catalog order."""
+    """One struct (score, turn, offer_id, ord) per offer.
+
+    Falling struct order is ranking order: higher score first, then the offer
+    that comes first in the catalog, because ``turn`` is minus ``ord``.
+    """
     return F.array(*[
-        F.struct(F.lit(offer_id).alias("offer_id"), F.lit(place).alias("ord"),
-                 score.cast("double").alias("score"))
+        F.struct(score.cast("double").alias("score"), F.lit(-place).alias("turn"),
+                 F.lit(offer_id).alias("offer_id"), F.lit(place).alias("ord"))
         for place, (offer_id, score) in enumerate(scores.items())])
 
 
@@ -51,7 +54,8 @@ def rule_scores(features: DataFrame, catalog: Catalog | None = None, noise_sd: f
                 seed: int = 42) -> DataFrame:
     """Target scores: rows of (member_id, offer_id, ord, score)."""
     scores = rule_score_columns(features.columns, catalog or Catalog(), noise_sd, seed)
-    return features.select("member_id", F.inline(score_array(scores)))
+    return features.select("member_id", F.inline(score_array(scores))).select(
+        "member_id", "offer_id", "ord", "score")
 
 
 def rule_scores_wide(features: DataFrame, catalog: Catalog | None = None, noise_sd: float = 0.0,

@@ -13,11 +13,12 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from offerrank.operators.explain import strongest
+from offerrank.functions.scalar import round_even
 from offerrank.operators.learn import MAX_TREE_NODES, OfferModel
 
 CELLS_PER_STEP = 4_000_000
@@ -97,16 +98,32 @@ def explain_trees(model: OfferModel, pairs: DataFrame, k: int = 5) -> DataFrame:
     leaves = {model.offer_ids[place]: leaf_table(part) for place, part in nodes.groupby("ord")}
     shared = spark.sparkContext.broadcast(leaves)
 
-    def contributions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    order = np.argsort(np.argsort(model.feature_names))  # place of each name in the alphabet
+    width = len(model.feature_names)
+
+    def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, 1))
+            x = batch["x"].flatten().to_numpy().reshape(-1, width)
+            offers = batch["offer_id"].to_numpy(zero_copy_only=False)
             phi = np.zeros_like(x)
-            for offer_id, at in batch.groupby("offer_id").indices.items():
+            for offer_id in np.unique(offers):
+                at = np.flatnonzero(offers == offer_id)
                 phi[at] = shapley_values(shared.value[offer_id], x[at])
-            yield batch.assign(phi=list(phi))
-
-    schema = StructType([*pairs.schema, StructField("phi", pairs.schema["x"].dataType)])
-    zipped = F.arrays_zip(F.lit(model.feature_names).alias("feature"), F.col("x").alias("value"),
-                          F.col("phi").alias("shap_value"))
-    explained = pairs.mapInPandas(contributions, schema)
-    return explained.withColumn("top_features", strongest(zipped, k)).drop("x", "phi")
+            best = np.lexsort((np.broadcast_to(order, phi.shape), -np.abs(phi)), axis=1)[:, :k]
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * best.shape[1])
+            as_lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
+            kept = batch.drop_columns(["x"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, as_lists(best.astype(np.int32)), as_lists(np.take_along_axis(x, best, 1)),
+                 as_lists(np.take_along_axis(phi, best, 1))], [*kept.schema.names, "_at", "_value", "_phi"])
+
+    kept = [f for f in pairs.schema if f.name != "x"]
+    numbers = ArrayType(DoubleType())
+    schema = StructType([*kept, StructField("_at", ArrayType(IntegerType())), StructField("_value", numbers),
+                         StructField("_phi", numbers)])
+    names = F.lit(model.feature_names)
+    factors = F.transform(F.arrays_zip("_at", "_value", "_phi"), lambda z: F.struct(
+        F.element_at(names, z["_at"] + 1).alias("feature"), round_even(z["_value"], 2).alias("value"),
+        (round_even(z["_phi"], 3) + 0.0).alias("shap_value"),
+        F.when(z["_phi"] > 0, "increases").otherwise("decreases").alias("direction")))
+    return pairs.mapInArrow(contributions, schema).withColumn("top_features", factors).drop("_at", "_value", "_phi")

@@ -228,7 +228,7 @@ def member_prompts(p: Pipeline) -> DataFrame:
 
 
 def member_texts(p: Pipeline) -> DataFrame:
-    grouped = p.explanations().groupBy("member_id", *explain.PROFILE).agg(F.array_sort(F.collect_list(F.struct(
+    grouped = p.explanations().groupBy("member_id", *explain.PROFILE).agg(F.sort_array(F.collect_list(F.struct(
         "rank", "offer_id", "offer_name", "priority_score", "top_features"))).alias("recs"))
     return grouped.select("member_id", member_text(F.col("recs")).alias("text"))
 
@@ -370,7 +370,8 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         # explanations
         "rule_explanations": lambda p: factor_rows(p.explanations()),
         "top_factors": lambda p: factor_rows(p.explanations(1)),
-        "factor_display": lambda p: explain.display_factors(p.explanations(), explain.profile_columns()),
+        "factor_display": lambda p: explain.display_factors(
+            p.explanations(), explain.rule_inputs(p.catalog, fx), explain.profile_columns()),
         "offer_prompt": member_prompts,
         "member_text": member_texts,
         "summary_prompt": summary_prompts,

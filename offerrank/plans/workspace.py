@@ -62,7 +62,7 @@ class Pipeline:
         """Rule scores (y) with the mean score of the offer, or of the offer and
         further feature columns, as a naive prediction (p)."""
         y = ranking.with_rule_scores(self.features, self.catalog).select(
-            "member_id", *by, F.inline("scores")).withColumnRenamed("score", "y")
+            "member_id", *by, F.inline("scores")).withColumnRenamed("score", "y").drop("turn", "ord")
         means = y.groupBy("offer_id", *by).agg(F.avg("y").alias("p"))
         return y.join(F.broadcast(means) if not by else means, ["offer_id", *by]).select(
             "member_id", "offer_id", "y", "p")
