@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
-from offerrank.functions.scalar import one_row
+from offerrank.functions.scalar import fitted, one_row
 from offerrank.operators.quantiles import exact_quantiles, quantile_row
+from offerrank.session import if_small
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -73,19 +74,17 @@ def histogram(df: DataFrame, value: Column, bins: int, by: list[str] | None = No
     """
     by = by or []
     values = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    limits = values.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     if by:
-        limits = values.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        placed = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).join(limits, by)
+        placed = values.join(if_small(limits), by)
     else:
-        limits = values.agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
-        placed = (values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-                  .withColumn("_limits", one_row(limits))
-                  .select("_v", "_n", F.col("_limits.low").alias("_low"), F.col("_limits.high").alias("_high")))
+        low, high = fitted(limits).values()
+        placed = values.withColumns({"_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")})
     width = (F.col("_high") - F.col("_low")) / bins
     bin_no = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / width))).cast("int")
     counted = placed.withColumns({"bin": bin_no, "_width": width}).groupBy(*by, "bin", "_low", "_width").agg(
-        F.sum("_n").alias("n"))
+        F.count(F.lit(1)).alias("n"))
     return counted.select(
         *by, "bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("low"),
         (F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("high"), "n")

@@ -1,8 +1,8 @@
 """Exact global ranks and quantiles without a single-partition sort.
 
-Values are first folded to (value, count), then put in ordered buckets. Only
-the bucket totals, whose number is bounded by the bucket function, meet in one
-window; ranks inside a bucket are found bucket by bucket, in parallel.
+Values fall into ordered buckets, and a first pass counts the buckets. Only
+these counts, whose number is bounded by the bucket function, meet in one
+window. A second pass looks at the values of the few buckets that matter.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerrank.session import if_small
+
 BUCKETS_PER_OCTAVE = 1024
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # log2 of the smallest double is -1074
 
@@ -40,25 +42,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     by = by or []
     keys = [*by, "column"]
     numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    counted = (
-        numbers.unpivot(by, columns, "column", "_value")
-        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", value_bucket(F.col("_value"))))
+    values = (numbers.unpivot(by, columns, "column", "_value")
+              .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+              .withColumn("_bucket", value_bucket(F.col("_value"))))
 
     position = F.col("prob") * (F.col("_total") - 1)
     inside = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bucket_n"))
-    wanted = (
-        _bucket_spans(counted, keys)
+    buckets = values.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = if_small(
+        _bucket_spans(buckets, keys)
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_low", F.floor(position))
         .withColumn("_high", F.ceil(position))
         .withColumn("_share", position - F.col("_low"))
         .where(inside(F.col("_low")) | inside(F.col("_high"))))
 
-    in_bucket = Window.partitionBy(*keys, "_bucket", "prob").orderBy("_value")
-    end = F.col("_start") + F.sum("_n").over(in_bucket)
-    ranked = counted.join(wanted, [*keys, "_bucket"]).withColumn("_end", end)
+    counted = values.join(wanted, [*keys, "_bucket"]).groupBy(
+        *keys, "prob", "_bucket", "_start", "_low", "_high", "_share", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    in_bucket = Window.partitionBy(*keys, "prob", "_bucket").orderBy("_value")
+    ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(in_bucket))
     holds = lambda rank: (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n"))
     picked = ranked.groupBy(*keys, "prob").agg(
         F.max(F.when(holds(F.col("_low")), F.col("_value"))).alias("_v_low"),
@@ -95,21 +97,20 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 def first_by_hash(df: DataFrame, key: str, fraction: float, seed: str = "") -> DataFrame:
     """Mark the ``ceil(fraction * n)`` rows whose hashed key sorts first.
 
-    The hash prefix is the bucket, so the buckets are even and their number is
-    fixed; only the bucket that holds the cut is ranked row by row.
+    Two small jobs find the hash at the cut; marking is then a comparison, so
+    wide rows are not moved. Hash prefixes are the buckets: they are even and
+    their number is fixed. Rows that repeat a key stay on the same side.
     """
-    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key)))) \
-               .withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint"))
+    digest = F.md5(F.concat(F.lit(seed), F.col(key)))
+    hashed = df.select(digest.alias("_hash")).withColumn(
+        "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint"))
     counted = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    spans = _bucket_spans(counted, []).withColumn(
-        "_take", F.ceil(F.lit(float(fraction)) * F.col("_total")) - F.col("_start"))
-    cut = spans.where((F.col("_take") > 0) & (F.col("_take") <= F.col("_bucket_n")))
-    edge = cut.agg(F.max("_bucket").alias("bucket"), F.max("_take").alias("take"))
-    point = edge.select(F.struct("bucket", "take")).scalar()
-    marked = hashed.withColumn("_point", point)
-    place = F.row_number().over(
-        Window.partitionBy("_bucket").orderBy("_hash", key))
-    return marked.withColumn("is_first", F.coalesce(
-        (F.col("_bucket") < F.col("_point.bucket"))
-        | ((F.col("_bucket") == F.col("_point.bucket")) & (place <= F.col("_point.take"))),
-        F.lit(False))).drop("_hash", "_bucket", "_point")
+    take = F.ceil(F.lit(float(fraction)) * F.col("_total")) - F.col("_start")
+    edge = (_bucket_spans(counted, []).withColumn("_take", take)
+            .where((F.col("_take") > 0) & (F.col("_take") <= F.col("_bucket_n"))).first())
+    if edge is None:  # no row is wanted
+        return df.withColumn("is_first", F.lit(False))
+    cut = (hashed.where(F.col("_bucket") == edge["_bucket"]).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_end", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_hash")))
+           .where(F.col("_end") >= edge["_take"]).agg(F.min("_hash").alias("hash")).first()["hash"])
+    return df.withColumn("is_first", F.coalesce(digest <= F.lit(cut), F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerrank.catalog import Catalog
 from offerrank.functions.scalar import clip_score, one_row
 from offerrank.operators.quantiles import average_ranks
+from offerrank.session import if_small
 
 
 def hash_noise(offer_id: str, sd: float, seed: int) -> Column:
@@ -87,7 +88,7 @@ def normalize_scores(df: DataFrame, column: str, method: str = "minmax",
     """Map scores to 0..100 by range, z-score or average-rank percentile."""
     score = F.col(column)
     if method == "percentile":
-        ranks = average_ranks(df, column)
+        ranks = if_small(average_ranks(df, column))
         return df.join(ranks, column, "left").withColumn(
             output, F.col("average_rank") / F.col("total") * 100).drop("average_rank", "total")
     if method == "minmax":
