@@ -13,7 +13,7 @@ from offerrank.functions.scalar import bin_label, safe_bool, safe_float, safe_in
 from offerrank.functions.text import member_text, offer_prompt, summary_prompt
 from offerrank.operators import explain, features, feedback, learn, profile, quality, ranking, reports, scoring
 from offerrank.operators.segments import member_segments, segment_summary
-from offerrank.operators.treeshap import explain_trees, feature_vector
+from offerrank.plans.retraining import train_challenger
 from offerrank.plans.workspace import Pipeline
 from offerrank.session import scratch_path, ship_package
 from offerrank.sources import tables
@@ -52,16 +52,10 @@ def _training(p: Pipeline) -> DataFrame:
     return scoring.training_data(p.features, p.catalog)
 
 
-def _fit(data: DataFrame, p: Pipeline) -> learn.OfferModel:
-    train, _ = learn.split_train_test(data)
-    return learn.OfferModel.fit(train, p.catalog.offer_ids, features.FEATURES, TREE_ROUNDS, TREE_DEPTH,
-                                parallelism=8)
-
-
 def _model(p: Pipeline) -> learn.OfferModel:
     key = next(k for k, v in _pipelines.items() if v is p)
     if key not in _models:
-        _models[key] = _fit(_training(p), p)
+        _models[key] = p.train(TREE_ROUNDS, TREE_DEPTH, parallelism=8)
     return _models[key]
 
 
@@ -181,13 +175,6 @@ def gbt_recommendations(p: Pipeline) -> DataFrame:
     return ranking.recommend(_model(p).predict(p.features), p.catalog, 5, 25.0)
 
 
-def tree_explanations(p: Pipeline) -> DataFrame:
-    model = _model(p)
-    inputs = p.features.withColumn("x", feature_vector(model))
-    pairs = ranking.recommend(model.predict(inputs, ["member_id", "x"]), p.catalog, 5, 25.0, keep=["member_id", "x"])
-    return factor_rows(explain_trees(model, pairs))
-
-
 def adjusted_scores(p: Pipeline) -> DataFrame:
     return feedback.adjust_targets(scoring.rule_scores(p.features, p.catalog),
                                    feedback.decided(p.tables["feedback"]))
@@ -195,13 +182,8 @@ def adjusted_scores(p: Pipeline) -> DataFrame:
 
 def challenger_metrics(p: Pipeline) -> DataFrame:
     """Retrain on adjusted targets with feedback members repeated in training."""
-    ids = p.catalog.offer_ids
-    targets = adjusted_scores(p).groupBy("member_id").agg(*[
-        F.max(F.when(F.col("offer_id") == o, F.col("adjusted_score"))).alias(f"score_{o}") for o in ids])
-    train, test = learn.split_train_test(p.features.join(targets, "member_id"))
-    weighted = feedback.oversample_feedback(train, feedback.decided(p.tables["feedback"]))
-    model = learn.OfferModel.fit(weighted, ids, features.FEATURES, TREE_ROUNDS, TREE_DEPTH, parallelism=8)
-    return learn.regression_metrics(learn.prediction_pairs(model, test))
+    given = feedback.decided(p.tables["feedback"])
+    return train_challenger(p, given, TREE_ROUNDS, TREE_DEPTH, parallelism=8).metrics
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -399,7 +381,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "gbt_train_metrics": gbt_train_metrics,
         "gbt_recommendations": gbt_recommendations,
         "feature_importance": lambda p: _model(p).feature_importance(p.spark),
-        "tree_explanations": tree_explanations,
+        "tree_explanations": lambda p: factor_rows(p.tree_explanations(_model(p))),
         "challenger_metrics": challenger_metrics,
     }
 

@@ -8,10 +8,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerrank import fixed_values as fv
 from offerrank.catalog import Catalog
 from offerrank.operators import explain, ranking
-from offerrank.operators.features import FeatureBuilder
+from offerrank.operators.features import FEATURES, FeatureBuilder
+from offerrank.operators.learn import OfferModel, split_train_test
+from offerrank.operators.scoring import training_data
+from offerrank.operators.treeshap import explain_trees, feature_vector
 from offerrank.session import materialize
+from offerrank.sources.tables import save_serving
 
 
 class Pipeline:
@@ -55,6 +60,27 @@ class Pipeline:
         return explained.select("member_id", "rank", "offer_id", "offer_name", "category", "priority_score",
                                 "description", *explain.PROFILE, "top_features")
 
+    def train(self, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5, noise_sd: float = 0.0,
+              parallelism: int = 4) -> OfferModel:
+        """Fit the offer models on the training members' rule scores."""
+        train, _ = split_train_test(training_data(self.features, self.catalog, noise_sd))
+        return OfferModel.fit(train, self.catalog.offer_ids, FEATURES, rounds, depth, parallelism=parallelism)
+
+    def tree_explanations(self, model: OfferModel, k: int = 5) -> DataFrame:
+        """Model recommendations with the strongest feature contributions."""
+        inputs = self.features.withColumn("x", feature_vector(model))
+        carried = ["member_id", "x"]
+        pairs = ranking.recommend(model.predict(inputs, carried), self.catalog, 5, 25.0, keep=carried)
+        return explain_trees(model, pairs, k)
+
+    def publish(self, path: str) -> None:
+        """Write the tables that campaigns and lookups read."""
+        consolidated = materialize(self.consolidated(), "consolidated")
+        save_serving(consolidated, f"{path}/consolidated")
+        self.recommendations().write.mode("overwrite").parquet(f"{path}/recommendations")
+        ranking.campaign_offers(consolidated).write.mode("overwrite").parquet(f"{path}/campaign")
+        explain.nested_export(self.explanations()).write.mode("overwrite").json(f"{path}/members")
+
     def consolidated(self) -> DataFrame:
         return explain.consolidate(self.explanations(), self.reference_ts)
 
