@@ -1,8 +1,9 @@
-"""Exact global ranks and quantiles without a single-partition sort.
+"""Exact global ranks and quantiles without a one-task sort.
 
-Values fall into ordered buckets, and a first pass counts the buckets. Only
-these counts, whose number is bounded by the bucket function, meet in one
-window. A second pass looks at the values of the few buckets that matter.
+Values fall into ordered buckets, and a pass over the data counts the buckets.
+Only these counts, whose number is bounded by the bucket function, meet in one
+window. Further passes look at the values of the few buckets that matter; a
+bucket that still holds many rows is split again first.
 """
 
 from __future__ import annotations
@@ -14,27 +15,38 @@ from offerrank.session import if_small
 
 BUCKETS_PER_OCTAVE = 1024
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # log2 of the smallest double is -1074
+PARTS_PER_SPLIT = 10_000
+ROWS_PER_BUCKET = 1_000_000  # fewer are ranked within one task
 
 
 def value_bucket(value: Column) -> Column:
     """A BIGINT that never decreases as ``value`` grows."""
-    octaves = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + _OFFSET
+    power = F.least(F.log2(F.abs(value)), F.lit(1025.0))  # infinity comes after all numbers
+    octaves = F.floor(power * BUCKETS_PER_OCTAVE) + _OFFSET
     return F.when(value == 0, F.lit(0)).when(value > 0, octaves).otherwise(-octaves).cast("bigint")
 
 
-def _bucket_spans(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that lie before each bucket, rows in it and rows in all."""
-    totals = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bucket_n"))
-    everything = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *keys, "_bucket", "_bucket_n",
-        F.coalesce(F.sum("_bucket_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_bucket_n").over(everything).alias("_total"))
+def even_part(value: Column, low: Column, high: Column, parts: int) -> Column:
+    """Which of the equal parts of [low, high] the value lies in, from 0."""
+    bounded = F.greatest(low, F.least(high, value))
+    share = (bounded - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
+    return F.least(F.lit(parts - 1), F.floor(share * parts)).cast("bigint")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    by: list[str] | None = None) -> DataFrame:
+def _before(keys: list[str], order: list[str]) -> Column:
+    """Rows in earlier buckets of the same key."""
+    window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
+    return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _holding(buckets: DataFrame) -> DataFrame:
+    """Buckets that hold one of the two ranks next to the quantile."""
+    inside = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
+    return buckets.where(inside(F.col("_low")) | inside(F.col("_high")))
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Linear-interpolation quantiles: rows of (by..., column, prob, value).
 
     Nulls and NaN are left out. A column without any value gives no row.
@@ -43,23 +55,32 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     keys = [*by, "column"]
     numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     values = (numbers.unpivot(by, columns, "column", "_value")
-              .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-              .withColumn("_bucket", value_bucket(F.col("_value"))))
+              .where(F.col("_value").isNotNull() & ~F.isnan("_value")))
+    size = [F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_from"), F.max("_value").alias("_to")]
+    state = [*keys, "prob", "_low", "_high", "_share", "_start", "_n", "_from", "_to"]
 
     position = F.col("prob") * (F.col("_total") - 1)
-    inside = lambda rank: (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bucket_n"))
-    buckets = values.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = if_small(
-        _bucket_spans(buckets, keys)
+    buckets = values.groupBy(*keys, value_bucket(F.col("_value")).alias("_bucket")).agg(*size)
+    wanted = if_small(_holding(
+        buckets.withColumn("_start", _before(keys, ["_bucket"]))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_low", F.floor(position))
-        .withColumn("_high", F.ceil(position))
-        .withColumn("_share", position - F.col("_low"))
-        .where(inside(F.col("_low")) | inside(F.col("_high"))))
-
-    counted = values.join(wanted, [*keys, "_bucket"]).groupBy(
-        *keys, "prob", "_bucket", "_start", "_low", "_high", "_share", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    in_bucket = Window.partitionBy(*keys, "prob", "_bucket").orderBy("_value")
+        .withColumns({"_low": F.floor(position), "_high": F.ceil(position),
+                      "_share": position - F.floor(position)})).select(*state))
+
+    within = lambda: values.join(wanted.withColumnRenamed("_n", "_all"), keys).where(
+        F.col("_value").between(F.col("_from"), F.col("_to")))
+    large = f"_n > {rows_per_bucket} AND _from < _to"
+    while not wanted.where(large).isEmpty():
+        part = even_part(F.col("_value"), F.col("_from"), F.col("_to"), PARTS_PER_SPLIT).alias("_part")
+        parent = [*keys, "prob", "_low", "_high", "_share", "_start"]
+        split = within().groupBy(*parent, part).agg(*size)
+        wanted = if_small(_holding(split.withColumn(
+            "_start", F.col("_start") + _before(parent, ["_part"]))).select(*state))
+
+    counted = within().groupBy(*keys, "prob", "_low", "_high", "_share", "_start", "_value").agg(
+        F.count(F.lit(1)).alias("_n"))
+    in_bucket = Window.partitionBy(*keys, "prob", "_start").orderBy("_value")
     ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(in_bucket))
     holds = lambda rank: (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n"))
     picked = ranked.groupBy(*keys, "prob").agg(
@@ -82,16 +103,24 @@ def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFra
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Rows of (value, average rank from 1, total) for each distinct value."""
-    counted = (df.where(F.col(column).isNotNull())
-                 .groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-                 .withColumn("_bucket", value_bucket(F.col("_value"))))
-    in_bucket = Window.partitionBy("_bucket").orderBy("_value")
-    ranked = counted.join(_bucket_spans(counted, []), "_bucket").withColumn(
-        "_end", F.col("_start") + F.sum("_n").over(in_bucket))
+    """Rows of (value, average rank from 1, total) for each distinct value.
+
+    A bucket is a pair: place on the logarithmic scale, then part of the
+    observed range. So neither long tails nor a narrow range fill one bucket.
+    """
+    known = df.where(F.col(column).isNotNull())
+    finite = F.when(F.abs(column) < float("inf"), F.col(column))
+    low, high, total = known.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
+    part = even_part(F.col("_value"), F.lit(low).cast("double"), F.lit(high).cast("double"), 100 * PARTS_PER_SPLIT)
+    counted = (known.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumns({"_bucket": value_bucket(F.col("_value")), "_part": part}))
+    place = ["_bucket", "_part"]
+    starts = counted.groupBy(*place).agg(F.sum("_n").alias("_n")).select(*place, _before([], place).alias("_start"))
+    ranked = counted.join(starts, place).withColumn(
+        "_end", F.col("_start") + F.sum("_n").over(Window.partitionBy(*place).orderBy("_value")))
     return ranked.select(F.col("_value").alias(column),
                          (F.col("_end") - (F.col("_n") - 1) / 2).alias("average_rank"),
-                         F.col("_total").alias("total"))
+                         F.lit(total).alias("total"))
 
 
 def first_by_hash(df: DataFrame, key: str, fraction: float, seed: str = "") -> DataFrame:
@@ -105,9 +134,10 @@ def first_by_hash(df: DataFrame, key: str, fraction: float, seed: str = "") -> D
     hashed = df.select(digest.alias("_hash")).withColumn(
         "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint"))
     counted = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    take = F.ceil(F.lit(float(fraction)) * F.col("_total")) - F.col("_start")
-    edge = (_bucket_spans(counted, []).withColumn("_take", take)
-            .where((F.col("_take") > 0) & (F.col("_take") <= F.col("_bucket_n"))).first())
+    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
+    take = F.ceil(F.lit(float(fraction)) * total) - _before([], ["_bucket"])
+    edge = (counted.withColumn("_take", take)
+            .where((F.col("_take") > 0) & (F.col("_take") <= F.col("_n"))).first())
     if edge is None:  # no row is wanted
         return df.withColumn("is_first", F.lit(False))
     cut = (hashed.where(F.col("_bucket") == edge["_bucket"]).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))

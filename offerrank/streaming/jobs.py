@@ -9,6 +9,11 @@ from offerrank.catalog import Catalog
 from offerrank.operators.ranking import recommend, with_rule_scores
 from offerrank.session import scratch_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDERS = "org.apache.spark.sql.execution.streaming.state."
+DEFAULT_STATE_STORE = _PROVIDERS + "HDFSBackedStateStoreProvider"
+ROCKSDB_STATE_STORE = _PROVIDERS + "RocksDBStateStoreProvider"
+
 
 def feedback_counts(feedback: DataFrame, window: str = "30 days", delay: str = "3650 days") -> DataFrame:
     """Running feedback counts per window and offer, each event counted once.
@@ -29,7 +34,14 @@ def feedback_counts(feedback: DataFrame, window: str = "30 days", delay: str = "
 
 
 def run_feedback_counts(stream: DataFrame, output: str, checkpoint: str | None = None, **options) -> DataFrame:
-    """Process what has arrived, replace the counts table and return it."""
+    """Process what has arrived, replace the counts table and return it.
+
+    The remembered event ids are kept in RocksDB, outside the JVM heap, unless
+    the session names another state store.
+    """
+    conf = stream.sparkSession.conf
+    if conf.get(STATE_STORE, None) in (None, DEFAULT_STATE_STORE):
+        conf.set(STATE_STORE, ROCKSDB_STATE_STORE)
     counts = feedback_counts(stream, **options)
     query = (counts.writeStream.outputMode("complete")
              .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "counts-state"))

@@ -7,14 +7,16 @@ import pytest
 from offerrank.operators.quantiles import average_ranks, exact_quantiles, first_by_hash
 
 
-def test_quantiles_match_sorting(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_quantiles_match_sorting(spark, limit):
     rng = np.random.default_rng(1)
     data = {"uniform": rng.uniform(-5, 5, 999), "ties": rng.integers(0, 4, 999).astype(float),
             "heavy": np.exp(rng.normal(0, 6, 999)) * rng.choice([-1, 1], 999), "narrow": 60 + rng.uniform(0, 1e-6, 999)}
     rows = [tuple(float(v) for v in r) for r in zip(*data.values())] + [(None,) * 4, (float("nan"),) * 4]
     df = spark.createDataFrame(rows, ", ".join(f"{c} DOUBLE" for c in data)).repartition(7)
     probs = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, list(data), probs).collect()}
+    got = {(r["column"], r["prob"]): r["value"]
+           for r in exact_quantiles(df, list(data), probs, rows_per_bucket=limit).collect()}
     for name, x in data.items():
         for p in probs:
             assert got[name, p] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
@@ -27,10 +29,18 @@ def test_quantiles_by_group(spark):
 
 
 def test_average_ranks(spark):
-    x = [3.0, 1.0, 3.0, -2.0, 0.0, 3.0]
+    x = [3.0, 1.0, 3.0, -2.0, 0.0, 3.0, None, float("inf"), float("-inf")]
     got = {r["x"]: r["average_rank"] for r in average_ranks(
         spark.createDataFrame([(v,) for v in x], "x DOUBLE"), "x").collect()}
-    assert got == {-2.0: 1.0, 0.0: 2.0, 1.0: 3.0, 3.0: 5.0}
+    assert got == {float("-inf"): 1.0, -2.0: 2.0, 0.0: 3.0, 1.0: 4.0, 3.0: 6.0, float("inf"): 8.0}
+
+
+def test_average_ranks_of_narrow_and_wide_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[60 + rng.uniform(0, 1e-7, 300), np.exp(rng.normal(0, 9, 300)) * rng.choice([-1, 1], 300)]
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE").repartition(5)
+    got = {r["x"]: r["average_rank"] for r in average_ranks(df, "x").collect()}
+    assert [got[v] for v in sorted(x)] == list(range(1, 601))
 
 
 @pytest.mark.parametrize("n", [1, 5, 1000])
