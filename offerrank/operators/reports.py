@@ -59,7 +59,7 @@ def recommendation_summary(recs: DataFrame) -> DataFrame:
         "unique_members": one_row(by_member.agg(F.count("member_id").alias("n")))["n"],
         "unique_offers": one_row(by_offer.agg(F.count("offer_id").alias("n")))["n"],
         "median_score": one_row(quantile_row(recs, {"m": ("priority_score", 0.5)}))["m"],
-    }).withColumn("avg_per_member", F.col("total_recommendations") / F.col("unique_members"))
+    }).withColumn("avg_per_member", F.try_divide(F.col("total_recommendations").cast("double"), "unique_members"))
 
 
 def recommendation_report(recs: DataFrame, members: DataFrame | None = None) -> DataFrame:

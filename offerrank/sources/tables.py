@@ -34,6 +34,12 @@ def normalize_timestamps(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in local})
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing numbers are null everywhere; NaN would spoil sums and comparisons."""
+    doubles = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+
+
 def read_table(spark: SparkSession, name: str, location: str) -> DataFrame:
     """Read one raw table, with its declared schema, from a folder or catalog.
 
@@ -41,8 +47,10 @@ def read_table(spark: SparkSession, name: str, location: str) -> DataFrame:
     prefix such as ``main.health`` whose table ``<name>`` is read.
     """
     if "/" in location:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{location.rstrip('/')}/{name}")
-    return spark.table(f"{location}.{name}")
+        raw = spark.read.schema(SCHEMAS[name]).parquet(f"{location.rstrip('/')}/{name}")
+    else:
+        raw = spark.table(f"{location}.{name}")
+    return nan_to_null(normalize_timestamps(raw))
 
 
 def read_raw_tables(spark: SparkSession, location: str) -> dict[str, DataFrame]:
@@ -93,15 +101,16 @@ def save_features(features: DataFrame, path: str) -> None:
     features.drop("segment").write.mode("overwrite").parquet(path)
 
 
-def save_serving(recs: DataFrame, path: str, files: int = 200) -> None:
+def save_serving(recs: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Lay recommendations out for lookups by member.
 
     Range partitioning plus sorted files gives narrow min/max statistics, so
-    that a lookup of one member reads about one row group.
+    that a lookup of one member reads about one row group. The number of
+    partitions follows the session's shuffle settings, the file size is bounded.
     """
-    (recs.repartitionByRange(files, "member_id", "rank")
+    (recs.repartitionByRange("member_id", "rank")
          .sortWithinPartitions("member_id", "rank")
-         .write.mode("overwrite").parquet(path))
+         .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
 def save_csv(df: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from offerrank.operators import explain, features, reports
 from offerrank.plans import queries
+from offerrank.plans.workspace import Pipeline
 from offerrank.sources import tables
 from offerrank.sources.fixtures import REFERENCE_TS
 from offerrank.streaming import jobs
@@ -18,6 +19,22 @@ def test_raw_tables_roundtrip(spark, pipeline, tmp_path):
     tables.save_raw_tables({n: pipeline.tables[n] for n in ("members", "benefits")}, str(tmp_path))
     again = tables.read_table(spark, "benefits", str(tmp_path))
     assert again.drop("created_at").exceptAll(pipeline.tables["benefits"]).isEmpty()
+    odd = pipeline.tables["benefits"].withColumn("used_amount", F.lit(float("nan")))
+    tables.save_raw_tables({"benefits": odd}, str(tmp_path / "nan"))
+    assert tables.read_table(spark, "benefits", str(tmp_path / "nan")).where("used_amount IS NOT NULL").isEmpty()
+
+
+def test_whole_pipeline_from_saved_tables(spark, pipeline, tmp_path):
+    names = ("members", "claims", "benefits", "engagement")
+    tables.save_raw_tables({n: pipeline.tables[n] for n in names}, str(tmp_path))
+    again = Pipeline(tables.read_raw_tables(spark, str(tmp_path)), REFERENCE_TS)
+    assert again.recommendations().exceptAll(pipeline.recommendations()).isEmpty()
+    assert again.features.count() == pipeline.features.count()
+
+
+def test_summary_of_no_recommendations(pipeline):
+    row = reports.recommendation_summary(pipeline.recommendations().where("false")).first()
+    assert (row.total_recommendations, row.unique_members, row.avg_per_member) == (0, 0, None)
 
 
 def test_catalog_tables(spark, pipeline):
@@ -57,7 +74,7 @@ def test_exports(spark, pipeline, tmp_path):
 
 
 def test_lookup_pushes_the_member_into_the_scan(spark, pipeline, tmp_path):
-    tables.save_serving(pipeline.consolidated(), str(tmp_path / "s"), files=4)
+    tables.save_serving(pipeline.consolidated(), str(tmp_path / "s"), rows_per_file=100)
     found = reports.member_recommendations(spark.read.parquet(str(tmp_path / "s")), "MBR_00000042")
     assert found.count() == 5
     assert "EqualTo(member_id,MBR_00000042)" in plan(found)
