@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -16,7 +15,7 @@ from offerrank import fixed_values as fv
 from offerrank.functions.scalar import clip_score
 from offerrank.operators.quantiles import first_by_hash
 from offerrank.operators.scoring import score_array
-from offerrank.session import scratch_path
+from offerrank.session import materialize, scratch_path
 
 MAX_TREE_NODES = 5_000_000  # the tree table is broadcast, so its size is checked
 
@@ -57,7 +56,8 @@ class OfferModel:
         assembler = VectorAssembler(inputCols=feature_names, outputCol="_x", handleInvalid="error")
         targets = [f"score_{o}" for o in offer_ids]
         ready = assembler.transform(data).select("_x", *targets, *([weight_col] if weight_col else []))
-        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+        # written once: every fit reads it again, in partitions of a sensible size
+        ready = materialize(ready, "training")
 
         def fit_one(offer_id: str):
             params = {"featuresCol": "_x", "labelCol": f"score_{offer_id}", "predictionCol": f"pred_{offer_id}",
@@ -68,11 +68,8 @@ class OfferModel:
                 params["weightCol"] = weight_col
             return GBTRegressor(**params).fit(ready)
 
-        try:
-            with ThreadPoolExecutor(parallelism) as pool:
-                models = list(pool.map(fit_one, offer_ids))
-        finally:
-            ready.unpersist()
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(fit_one, offer_ids))
         settings = {"rounds": rounds, "depth": depth, "seed": seed, "weight_col": weight_col}
         return cls(offer_ids, feature_names, PipelineModel([assembler, *models]), settings)
 
