@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerrank.llm import simhash
+from offerrank.llm import mixing, packing, simhash, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pareto_mixing": mixing.op1,
+        "op3_toxicity_cnn": toxicity.op3,
+        "op4_url_filter": urls.op4,
         "op5_simhash_golay": simhash.op5,
+        "op6_best_fit_packing": packing.op6,
+        "op10_token_counts": tokens.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pareto_mixing": mixing.SQL, "op4_url_filter": urls.SQL}
