@@ -56,11 +56,10 @@ def pack_once(sizes: list[int], allowed: list[int], capacities: list[int], overh
         used[k] += size
         left -= size
         room -= size
-        if room:
-            if room not in open_bins:
-                open_bins[room] = []
-                insort(rooms, room)
-            open_bins[room].append(k)
+        if room not in open_bins:
+            open_bins[room] = []
+            insort(rooms, room)
+        open_bins[room].append(k)
     return placed, sum(capacities[bisect_left(capacities, u)] + overhead for u in used)
 
 
