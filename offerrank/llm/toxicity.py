@@ -4,15 +4,16 @@ Words (runs of letters, digits and whatever is beyond ASCII, in lower case)
 and their first four and six characters are hashed to rows of an embedding
 table, whose sum is the word's vector: inflected forms share their stem's row.
 Filters of several widths slide over the word vectors, each keeps its largest
-response over the whole text, and a logistic unit weighs them. Training is AdaGrad, one document at a time, in a
-fixed order, on at most ``max_rows`` labelled rows of each class (those with
+response over the whole text, and a logistic unit weighs them. One dimension of the table begins at the row's
+smoothed log odds of standing in a toxic text, the rest near zero. Training is AdaGrad, one document at a time, in a
+fixed order, ``EPOCHS`` passes or more over few rows, on at most ``max_rows`` labelled rows of each class (those with
 the smallest hash of the id). Max pooling sends the gradient to one window
 per filter, so a long text costs a forward pass and a few rows.
 
 Texts are scored whole, in portions of bounded size, however long they are.
 
-Labels come from ids whose ``crc32 % 4`` is 0 or 1 for training and 3 for
-thresholds; 2 is held out. The threshold of a language is the one with the
+Ids whose ``crc32 % 4`` is 2 are held out. Of the others, ``crc32 // 4 % 8``
+of 0 serves for thresholds only. The threshold of a language is the one with the
 best F1 on its rows; languages with few toxic rows, or none, take the one of
 all rows. Neither labels nor language, source or id enter a score.
 
@@ -38,9 +39,13 @@ from offerrank.llm.common import Scratch, in_batches, table
 ROWS_BITS = 15
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
 EPOCHS = 8
+MOST_EPOCHS, UPDATES = 30, 40_000
+ODDS = 0.3
+RATE = 0.1
+NOISE = 0.02
 MAX_ROWS = 3000
 CUT = 0.3
-MIN_TOXIC = 20
+MIN_TOXIC = 10
 CHUNK = 1 << 18
 PORTION = 1 << 14
 STEMS = (4, 6)
@@ -126,20 +131,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Per row, the smoothed log odds of being in a toxic text, in standard errors."""
+    hits = np.zeros((2, (1 << ROWS_BITS) + 1))
+    for rows, mark in zip(texts, labels):
+        hits[mark, np.unique(rows)] += 1
+    n = np.bincount(labels, minlength=2)[:, None]
+    odds = np.log((hits + 0.5) / (n - hits + 0.5))
+    z = (odds[1] - odds[0]) / np.sqrt((1 / (hits + 0.5)).sum(0))
+    z[hits.sum(0) == 0] = z[0] = 0
+    return z.astype(np.float32)
+
+
 def train(texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit embeddings, filters and the logistic unit by AdaGrad."""
     rng = np.random.default_rng(seed)
     widest = len(WIDTHS)
-    emb = rng.normal(0, 0.1, ((1 << ROWS_BITS) + 1, DIM)).astype(np.float32)
+    emb = rng.normal(0, NOISE, ((1 << ROWS_BITS) + 1, DIM)).astype(np.float32)
     emb[0] = 0
     filters = [rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
     bias, out = np.zeros((widest, FILTERS), np.float32), rng.normal(0, 0.3, (widest, FILTERS)).astype(np.float32)
     share = min(max(sum(labels) / max(1, len(labels)), 1e-3), 1 - 1e-3)
     out_bias = np.float32(np.log(share / (1 - share)))
     if 0 < sum(labels) < len(labels):
+        emb[:, 0] = ODDS * log_odds(texts, np.array(labels))
+        filters[0][0, :, 0], out[0, 0] = np.eye(DIM)[0], 1
+        epochs = max(epochs, min(MOST_EPOCHS, UPDATES // len(texts)))
         past = {"emb": np.full_like(emb, 1e-2), "bias": np.full_like(bias, 1e-2), "out": np.full_like(out, 1e-2), "out_bias": 1e-2}
         past_f = [np.full_like(f, 1e-2) for f in filters]
-        rate = 0.1
+        rate = RATE
         for _ in range(epochs):
             for d in rng.permutation(len(texts)):
                 rows = padded(texts[d])
@@ -184,21 +204,26 @@ def row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["toxic", "words"])
 
 
-def fold_of(id_col: Column) -> Column:
-    return F.coalesce(F.crc32(id_col.cast("string")) % 4, F.lit(-1))
+def held_out(id_col: Column) -> Column:
+    return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
+
+
+def for_thresholds(id_col: Column) -> Column:
+    """An eighth of the rows, apart from the division into held out or not."""
+    return F.coalesce(F.floor(F.crc32(id_col.cast("string")) / 4) % 8 == 0, F.lit(False))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """``id``, ``text``, ``toxic`` of rows that may be learned from."""
     known = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-             .filter(fold_of(F.col("id")) != 2))
+             .filter(~held_out(F.col("id"))))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model:
     """Train on at most ``max_rows`` rows of each class, chosen by hash; what comes to the driver is bounded by that."""
-    rows = labelled(docs, labels, id_col, text_col, label_col).filter(fold_of(F.col("id")).isin(0, 1))
+    rows = labelled(docs, labels, id_col, text_col, label_col).filter(~for_thresholds(F.col("id")))
     texts, marks = [], []
     for mark in (1, 0):
         some = rows.filter(F.col("toxic") == mark).orderBy(F.xxhash64("id"), "id").limit(max_rows).select("toxic", "text")
@@ -224,7 +249,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def thresholds(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", min_toxic: int = MIN_TOXIC) -> DataFrame:
     """``lang``, ``threshold`` with the best F1 on rows not trained on; a null language stands for all rows."""
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = scored.join(known.filter(fold_of(F.col("id")) == 3), "id")
+    rows = scored.join(known.filter(~held_out(F.col("id")) & for_thresholds(F.col("id"))), "id")
     steps = rows.groupBy("lang", F.floor(F.col("score") * 1000).alias("step")).agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     steps = steps.filter("lang is not null").unionByName(
         steps.groupBy("step").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
@@ -246,7 +271,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None, cut
     own = cuts.filter("lang is not null").withColumnRenamed("lang", "of")
     threshold = F.coalesce("threshold", F.lit(common).cast("double"), F.lit(cut))
     return (scored.join(own, F.col("lang") == F.col("of"), "left").withColumn("threshold", threshold)
-            .select("id", (fold_of(F.col("id")) == 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"),
+            .select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"),
                     "threshold", (F.col("score") >= F.col("threshold")).alias("flagged")))
 
 

@@ -44,13 +44,13 @@ def test_held_out_accuracy_and_no_leak(spark):
     assert auc > 0.9
     # swapped labels of held-out rows, other languages and sources change no score
     from pyspark.sql import functions as F
-    swapped = labels.withColumn("toxic", F.when(toxicity.fold_of(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    swapped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     other = {r.id: r.score for r in toxicity.classify(docs.withColumn("lang", F.lit("xx")).repartition(3), swapped).collect()}
     assert other == {i: r.score for i, r in got.items()}
 
 
 def test_thresholds_by_language(spark):
-    ids = [i for i in range(4000) if fold(i) == 3][:400]
+    ids = [i for i in range(4000) if fold(i) != 2 and zlib.crc32(str(i).encode()) // 4 % 8 == 0][:200]
     scored = spark.createDataFrame([(i, "a" if k % 2 else "b", (0.9 if k % 4 < 2 else 0.2) * (0.5 if k % 2 else 1.0)) for k, i in enumerate(ids)],
                                    "id long, lang string, score double")
     labels = spark.createDataFrame([(i, int(k % 4 < 2)) for k, i in enumerate(ids)], "doc_id long, toxic int")
