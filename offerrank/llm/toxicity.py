@@ -201,7 +201,7 @@ def train(texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed
 def row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [word_rows(t.as_py()).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["toxic", "words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["id", "words"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -213,23 +213,22 @@ def for_thresholds(id_col: Column) -> Column:
     return F.coalesce(F.floor(F.crc32(id_col.cast("string")) / 4) % 8 == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``id``, ``text``, ``toxic`` of rows that may be learned from."""
-    known = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-             .filter(~held_out(F.col("id"))))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model:
-    """Train on at most ``max_rows`` rows of each class, chosen by hash; what comes to the driver is bounded by that."""
-    rows = labelled(docs, labels, id_col, text_col, label_col).filter(~for_thresholds(F.col("id")))
+    """Train on at most ``max_rows`` labelled ids of each class, chosen by hash; what comes to the driver is bounded by that.
+
+    The ids are chosen before any text is moved, and as many as the bound are broadcast.
+    """
+    known = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+             .filter(~held_out(F.col("id")) & ~for_thresholds(F.col("id"))).join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
     texts, marks = [], []
     for mark in (1, 0):
-        some = rows.filter(F.col("toxic") == mark).orderBy(F.xxhash64("id"), "id").limit(max_rows).select("toxic", "text")
-        for r in in_batches(some, row_batches, "toxic int, words binary").collect():
+        some = F.broadcast(known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("id"), "id").limit(max_rows))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").groupBy("id").agg(F.min("text").alias("text"))
+        found = in_batches(rows, row_batches, "id long, words binary").collect()
+        for r in sorted(found, key=lambda r: r["id"]):
             texts.append(np.frombuffer(bytes(r["words"]), np.int32).reshape(-1, 1 + len(STEMS)))
-            marks.append(r["toxic"])
+            marks.append(mark)
     return train(texts, marks)
 
 
