@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,11 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Let the session delete shuffle files of frames that are done with; otherwise they stay until the driver needs memory."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def ordered_index(df: DataFrame, keys: list, scratch: Scratch, name: str, start: int = 0) -> DataFrame:
     """``df`` with ``idx``: each row's place in the order of ``keys``.
