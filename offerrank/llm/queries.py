@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerrank.llm import itq, licences, mixing, packing, simhash, spotsigs, tokens, toxicity, urls
+from offerrank.llm import itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": urls.op4,
         "op5_simhash_golay": simhash.op5,
         "op6_best_fit_packing": packing.op6,
+        "op7_suffix_dedup": suffixes.op7,
         "op8_spotsigs": spotsigs.op8,
         "op9_itq_hamming": itq.op9,
         "op10_token_counts": tokens.op10,
