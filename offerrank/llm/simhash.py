@@ -127,6 +127,11 @@ def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
 
+def distance(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Differing bits; of unsigned numbers, as numpy counts the bits of an absolute value."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
+
+
 def spanning(fp: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join what is connected in one large bucket, each node once."""
     left = fp.copy()
@@ -134,7 +139,7 @@ def spanning(fp: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.nda
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            near = np.bitwise_count(left ^ at) <= max_bits
+            near = distance(left, np.int64(at)) <= max_bits
             if near.any():
                 found, left = left[near], left[~near]
                 yield np.full(len(found), at), found
@@ -151,7 +156,7 @@ def link_batches(max_bits: int):
             small = np.repeat(sizes <= DENSE, sizes)
             k, f = key[small], fp[small]
             for step in range(1, int(sizes[sizes <= DENSE].max(initial=1))):
-                near = (k[:-step] == k[step:]) & (np.bitwise_count(f[:-step] ^ f[step:]) <= max_bits)
+                near = (k[:-step] == k[step:]) & (distance(f[:-step], f[step:]) <= max_bits)
                 found.append((f[:-step][near], f[step:][near]))
             for s, n in zip(starts[sizes > DENSE], sizes[sizes > DENSE]):
                 found.extend(spanning(fp[s:s + n], max_bits))

@@ -69,9 +69,18 @@ def test_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [(63,), (0, 63), (5, 20, 41, 63)])
+def test_links_across_the_sign(spark, bits):
+    a = 0x0123456789ABCDEF
+    b = a ^ sum(1 << k for k in bits)
+    got = simhash.links(spark.createDataFrame([(a,), (b - (1 << 64),)], "fp long")).collect()
+    assert [{r.a, r.b} for r in got] == [{a, b - (1 << 64)}]
+
+
 def test_dense_bucket_keeps_its_links():
     rng = np.random.default_rng(1)
-    base = rng.integers(-2**62, 2**62)
-    fp = np.unique(np.array([base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (300, 2))]))
+    base = np.uint64(rng.integers(2**62, 2**63))
+    one = np.uint64(1)
+    fp = np.unique(np.array([base ^ one << a ^ one << b for a, b in rng.integers(0, 64, (300, 2), dtype=np.uint64)])).view(np.int64)
     pairs = list(simhash.spanning(fp, 4))
     assert sum(len(a) for a, _ in pairs) == len(fp) - 1
