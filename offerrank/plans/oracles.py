@@ -502,8 +502,8 @@ QUERIES: dict[str, str] = {
     "recs_filtered": f"SELECT {RECS} FROM ({recs(60, ['fitness', 'cost_savings'])})",
     "recs_enriched": """SELECT offer_id, feedback_id, coalesce(offer_name, 'Unknown') AS offer_name,
       coalesce(category, 'Unknown') AS category, coalesce(description, '') AS description
-      FROM feedback LEFT JOIN (SELECT * FROM offers
-        WHERE offer_id NOT IN ('FIT_002', 'NAV_001', 'COST_001', 'COST_002')) USING (offer_id)""",
+      FROM (SELECT feedback_id, CASE WHEN feedback_id % 31 = 0 THEN 'OLD_001' ELSE offer_id END AS offer_id FROM feedback)
+      LEFT JOIN offers USING (offer_id)""",
     "recs_category_cap": f"""SELECT {RECS} FROM recs
       QUALIFY row_number() OVER (PARTITION BY member_id, category ORDER BY rank) <= 1""",
     "recs_cooldown": f"""SELECT {RECS} FROM recs WHERE member_id NOT IN (SELECT member_id FROM engagement
