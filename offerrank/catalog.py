@@ -12,7 +12,6 @@ from offerrank import fixed_values as fv
 OFFER_SCHEMA = ("offer_id STRING, offer_name STRING, category STRING, base_score DOUBLE, "
                 "description STRING, priority_weight DOUBLE, target_conditions ARRAY<STRING>, ord INT")
 RULE_SCHEMA = "offer_id STRING, rule STRING, kind STRING, threshold DOUBLE, boost DOUBLE"
-MAX_OFFERS = 1000  # the catalog is embedded in plans and broadcast, so its size is checked
 
 
 @dataclass(frozen=True)
@@ -57,16 +56,15 @@ class Catalog:
         self.offers = offers if offers is not None else [
             Offer(i, n, c, b, d, w, tuple(t)) for i, n, c, b, d, w, t in fv.OFFERS]
         self.rules = rules if rules is not None else [Rule(*row) for row in fv.OFFER_RULES]
-        if len(self.offers) > MAX_OFFERS:
-            raise ValueError(f"the catalog has more than {MAX_OFFERS} offers")
 
     @classmethod
     def from_frames(cls, offers: DataFrame, rules: DataFrame) -> "Catalog":
-        rows = offers.orderBy("ord").limit(MAX_OFFERS + 1).collect()
+        """All offers in their order and all rules, by offer, kind of rule and threshold, as sums depend on the order."""
+        rows = offers.orderBy("ord").collect()
         return cls([Offer(r.offer_id, r.offer_name, r.category, r.base_score, r.description,
                           r.priority_weight, tuple(r.target_conditions or ())) for r in rows],
                    [Rule(r.offer_id, r.rule, r.kind, r.threshold, r.boost)
-                    for r in rules.limit(MAX_OFFERS * 100).collect()])
+                    for r in rules.orderBy("offer_id", "rule", "kind", "threshold", "boost").collect()])
 
     @property
     def offer_ids(self) -> list[str]:

@@ -2,49 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerrank.session import materialize
+
 
 class LabelEncoder:
     """Sorted labels per column; null counts as the label "None".
 
-    Labels are few by nature. Fitting reads at most ``max_labels + 1`` of them
-    per column to the driver and refuses a column that has more.
+    The codes are a table of (column, value, code), fitted and applied on the
+    cluster, so a column may have any number of labels.
     """
 
-    def __init__(self, labels: dict[str, list[str]]):
-        self.labels = labels
+    def __init__(self, codes: DataFrame):
+        self.codes = codes
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], max_labels: int = 1000) -> "LabelEncoder":
+    def fit(cls, df: DataFrame, columns: list[str]) -> "LabelEncoder":
         texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in columns])
-        distinct = texts.unpivot([], columns, "column", "label").distinct()
-        rows = distinct.limit(max_labels * len(columns) + 1).collect()
-        labels = {c: sorted(r["label"] for r in rows if r["column"] == c) for c in columns}
-        too_wide = [c for c, found in labels.items() if len(found) > max_labels]
-        if too_wide or len(rows) > max_labels * len(columns):
-            raise ValueError(f"more than {max_labels} labels in {too_wide or columns}")
-        return cls(labels)
+        distinct = texts.unpivot([], columns, "column", "value").distinct()
+        place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+        return cls(materialize(distinct.select("column", "value", (place - 1).cast("int").alias("code")), "labels"))
 
     def merged_with(self, other: "LabelEncoder") -> "LabelEncoder":
-        return LabelEncoder({**self.labels, **other.labels})
-
-    def code(self, column: str) -> Column:
-        """Code of the column's value; a value not seen in fitting is an error."""
-        text = F.coalesce(F.col(column).cast("string"), F.lit("None"))
-        place = F.array_position(F.lit(self.labels[column]), text)
-        unseen = F.raise_error(F.concat(F.lit(f"unseen label in {column}: "), text))
-        return F.when(place > 0, (place - 1).cast("int")).otherwise(unseen.cast("int"))
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The fitted codes as rows of (column, value, code)."""
-        rows = [(c, v, i) for c, values in self.labels.items() for i, v in enumerate(values)]
-        return spark.createDataFrame(rows, "column STRING, value STRING, code INT")
-
-    @classmethod
-    def from_frame(cls, codes: DataFrame) -> "LabelEncoder":
-        labels: dict[str, list[str]] = {}
-        for row in codes.orderBy("column", "code").collect():
-            labels.setdefault(row["column"], []).append(row["value"])
-        return cls(labels)
+        return LabelEncoder(self.codes.unionByName(other.codes))
+
+    def encode(self, df: DataFrame, columns: list[str], keep_null: list[str] = ()) -> DataFrame:
+        """``df`` with ``<column>_encoded``; a value not seen in fitting is an error.
+
+        Nulls of ``keep_null`` columns stay null. Small tables of codes are
+        broadcast by size, larger ones join by shuffle.
+        """
+        for c in columns:
+            own = self.codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+            text = F.col(c).cast("string") if c in keep_null else F.coalesce(F.col(c).cast("string"), F.lit("None"))
+            unseen = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), text)).cast("int")
+            code = F.when(F.col("_text").isNotNull(), F.coalesce("_code", unseen))
+            df = (df.withColumn("_text", text).join(own, F.col("_text") == F.col("_value"), "left")
+                  .withColumn(f"{c}_encoded", code).drop("_text", "_value", "_code"))
+        return df

@@ -69,8 +69,9 @@ def explain_rules(features: DataFrame, recs: DataFrame, catalog: Catalog, k: int
 def display_factors(explained: DataFrame, names: list[str], profile: dict[str, Column]) -> DataFrame:
     """One row per factor with the reader-facing name and sentence.
 
-    ``names`` are the possible features. What depends on the name alone is
-    computed once per name, in a table as long as that list.
+    ``names`` are features to expect. What depends on the name alone is computed
+    once for each, in a table as long as that list; for a name that is not in it
+    the same is computed row by row.
     """
     feature = F.col("feature")
     known = explained.sparkSession.createDataFrame([(n,) for n in names], "feature STRING").select(
@@ -78,9 +79,10 @@ def display_factors(explained: DataFrame, names: list[str], profile: dict[str, C
     rows = explained.select("*", F.posexplode("top_features").alias("_place", "_factor")).select(
         "*", F.col("_factor.feature").alias("feature"))
     supports = F.col("_factor.direction") == "increases"
-    return rows.join(F.broadcast(known), "feature").select(
-        "member_id", "rank", "offer_id", (F.col("_place") + 1).alias("factor_rank"), "feature", "title",
-        factor_sentence(F.col("_family"), F.col("_factor.value"), supports, profile).alias("sentence"))
+    title, family = F.coalesce("title", factor_title(feature)), F.coalesce("_family", factor_family(feature))
+    return rows.join(F.broadcast(known), "feature", "left").select(
+        "member_id", "rank", "offer_id", (F.col("_place") + 1).alias("factor_rank"), "feature", title.alias("title"),
+        factor_sentence(family, F.col("_factor.value"), supports, profile).alias("sentence"))
 
 
 def profile_columns() -> dict[str, Column]:

@@ -72,10 +72,10 @@ def demographic_labels(members: DataFrame) -> DataFrame:
 
 
 def claim_features(claims: DataFrame, ref: datetime) -> DataFrame:
-    """Claims and diagnosis features in one pass over the claims.
+    """Claims and diagnosis features, one aggregate over the claims.
 
-    Diagnoses outside the declared list are rare, so only they go through the
-    distinct count: the declared ones collapse to one null key per member.
+    Diagnoses outside the declared list are rare; a second, narrow aggregate
+    counts the different ones of each member.
     """
     diagnosis = F.col("diagnosis_category")
     seen = {d: F.max(flag((diagnosis == d) & F.col("claim_id").isNotNull())).alias(f"_dx_{d}")
@@ -96,9 +96,11 @@ def claim_features(claims: DataFrame, ref: datetime) -> DataFrame:
           for d in fv.CLAIM_WINDOWS],
         *[_count_of("claim_type", t, "claim_id").alias(f"{t}_visit_count") for t in fv.CLAIM_TYPES],
         F.max("claim_date").alias("_last_claim"),
-        *seen.values(),
-        F.count_distinct(unlisted).alias("_dx_unlisted"))
-    distinct = sum((F.col(f"_dx_{d}") for d in fv.DIAGNOSES), F.col("_dx_unlisted"))
+        *seen.values())
+    rare = (claims.select("member_id", unlisted.alias("_dx")).where(F.col("_dx").isNotNull()).distinct()
+            .groupBy("member_id").agg(F.count(F.lit(1)).alias("_dx_unlisted")))
+    folded = folded.join(rare, "member_id", "left")
+    distinct = sum((F.col(f"_dx_{d}") for d in fv.DIAGNOSES), F.coalesce("_dx_unlisted", F.lit(0)))
     derived = folded.withColumns({
         "days_since_last_claim": elapsed_days(ref, F.col("_last_claim")),
         "claim_frequency_trend": F.coalesce("claims_last_180d", F.lit(0))
@@ -198,7 +200,7 @@ def fill_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class FeatureBuilder:
-    """Builds the feature table and keeps the fitted label encoders.
+    """Builds the feature table; keeps the fitted label encoders and, as ``raw``, the features before filling.
 
     Encoders are fitted on the first table and reused afterwards, so a later
     run (scoring) gives a category the same code as the first (training).
@@ -213,14 +215,10 @@ class FeatureBuilder:
               engagement: DataFrame) -> DataFrame:
         ref = self.reference_ts
         engaged = materialize(engagement_features(engagement, ref), "engaged")
-        raw = materialize(join_features(members, claims, benefits, engaged, ref), "raw-features")
+        raw = self.raw = materialize(join_features(members, claims, benefits, engaged, ref), "raw-features")
         if self.encoders is None:
             self.encoders = LabelEncoder.fit(raw, LABEL_COLUMNS).merged_with(
                 LabelEncoder.fit(engaged, ["preferred_channel"]))
-        encoded = raw.withColumns({
-            **{f"{c}_encoded": self.encoders.code(c) for c in LABEL_COLUMNS},
-            # no engagement at all: no channel to encode
-            "preferred_channel_encoded": F.when(F.col("preferred_channel").isNotNull(),
-                                                self.encoders.code("preferred_channel")),
-        })
+        # no engagement at all: no channel to encode
+        encoded = self.encoders.encode(raw, [*LABEL_COLUMNS, "preferred_channel"], keep_null=["preferred_channel"])
         return fill_missing(encoded, FEATURES).select("member_id", *FEATURES)

@@ -17,7 +17,6 @@ from offerrank.operators.quantiles import first_by_hash
 from offerrank.operators.scoring import score_array
 from offerrank.session import materialize, scratch_path
 
-MAX_TREE_NODES = 5_000_000  # the tree table is broadcast, so its size is checked
 
 
 def split_train_test(df: DataFrame, test_share: float = 0.2, seed: str = "42") -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
+from functools import reduce
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 from offerrank import fixed_values as fv
 from offerrank.functions.scalar import fitted, one_row
 from offerrank.operators.quantiles import exact_quantiles, quantile_row
-from offerrank.session import if_small
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -76,7 +77,7 @@ def histogram(df: DataFrame, value: Column, bins: int, by: list[str] | None = No
     values = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     limits = values.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     if by:
-        placed = values.join(if_small(limits), by)
+        placed = values.join(limits, by)
     else:
         low, high = fitted(limits).values()
         placed = values.withColumns({"_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")})
@@ -118,47 +119,58 @@ def score_quartiles(recs: DataFrame, by: str = "category") -> DataFrame:
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair, rows of (a, b, r); null when constant.
 
-    All pairs are computed in one aggregate; a pair uses its complete rows.
+    A row becomes an array that is paired with itself by position, so one
+    narrow aggregate with a fixed number of groups serves any number of
+    columns. A pair uses its complete rows.
     """
-    pairs = list(combinations(columns, 2))
-    number = lambda c: F.col(c).cast("double")
-    row = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(columns)])
-    cell = lambda a, b, r: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
-    cells = [cell(*order, F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")))
-             for i, (a, b) in enumerate(pairs) for order in ((a, b), (b, a))]
-    cells += [cell(c, c, F.when(F.col(f"d{i}") > 0, F.lit(1.0))) for i, c in enumerate(columns)]
-    return row.select(F.inline(F.array(*cells)))
-
-
-def _per_column(df: DataFrame, columns: list[str], measures: dict[str, Column]) -> DataFrame:
-    """Measures of ``value`` for each column: rows of (feature, measures...).
-
-    The columns are turned into rows first. One narrow aggregate over them
-    compiles to compact code for any number of columns and combines map-side.
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                       for i, j in combinations_with_replacement(range(len(columns)), 2)])
+    numbers = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    pairs = numbers.select("v", F.inline(places)).select("i", "j", F.get("v", "i").alias("x"), F.get("v", "j").alias("y"))
+    moments = pairs.groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("spread"))
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("spread") > 0, F.lit(1.0))).otherwise(F.when(~F.isnan("r"), F.col("r")))
+    both = moments.select(r.alias("r"), F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("p"))
+    names = F.lit(columns)
+    return both.select(F.get(names, "p.i").alias("a"), F.get(names, "p.j").alias("b"), "r")
+
+
+COLUMNS_PER_PASS = 20
+
+
+def _per_column(df: DataFrame, columns: list[str], measures: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Measures of each column: rows of (feature, measures...), also for an empty frame.
+
+    One aggregate without groups for every few columns: its code compiles, and
+    of a columnar table each reads only its own columns.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return numbers.unpivot([], columns, "feature", "value").groupBy("feature").agg(
-        *[measure.alias(name) for name, measure in measures.items()])
+    parts = []
+    for at in range(0, len(columns), COLUMNS_PER_PASS):
+        chosen = columns[at:at + COLUMNS_PER_PASS]
+        value = {c: F.col(c).cast("double") for c in chosen}
+        row = df.agg(*[measure(value[c]).alias(f"{name}_{k}") for k, c in enumerate(chosen) for name, measure in measures.items()])
+        cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{k}").alias(name) for name in measures]) for k, c in enumerate(chosen)]
+        parts.append(row.select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _basic_measures() -> dict[str, Column]:
-    return {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value")}
+def _basic_measures() -> dict[str, Callable[[Column], Column]]:
+    return {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
-def _null_share() -> Column:
-    return F.avg(F.col("value").isNull().cast("int"))
+def _null_share(value: Column) -> Column:
+    return F.avg(value.isNull().cast("int"))
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, max and missing percentage of each column."""
     return _per_column(df, columns, {
-        "count": F.count("value"), **_basic_measures(), "missing_pct": _null_share() * 100})
+        "count": F.count, **_basic_measures(), "missing_pct": lambda v: _null_share(v) * 100})
 
 
 def monitor_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """mean, std, min, max and null rate of each column."""
-    return _per_column(df, columns, {**_basic_measures(), "null_rate": _null_share()})
+    return _per_column(df, columns, {**_basic_measures(), "null_rate": _null_share})
 
 
 def feature_groups(features: list[str]) -> list[tuple[str, str]]:

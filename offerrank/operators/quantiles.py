@@ -8,10 +8,12 @@ bucket that still holds many rows is split again first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerrank.session import if_small
+from offerrank.session import materialize
 
 BUCKETS_PER_OCTAVE = 1024
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE  # log2 of the smallest double is -1074
@@ -61,12 +63,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
 
     position = F.col("prob") * (F.col("_total") - 1)
     buckets = values.groupBy(*keys, value_bucket(F.col("_value")).alias("_bucket")).agg(*size)
-    wanted = if_small(_holding(
+    wanted = materialize(_holding(
         buckets.withColumn("_start", _before(keys, ["_bucket"]))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumns({"_low": F.floor(position), "_high": F.ceil(position),
-                      "_share": position - F.floor(position)})).select(*state))
+                      "_share": position - F.floor(position)})).select(*state), "quantile-buckets")
 
     within = lambda: values.join(wanted.withColumnRenamed("_n", "_all"), keys).where(
         F.col("_value").between(F.col("_from"), F.col("_to")))
@@ -75,8 +77,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         part = even_part(F.col("_value"), F.col("_from"), F.col("_to"), PARTS_PER_SPLIT).alias("_part")
         parent = [*keys, "prob", "_low", "_high", "_share", "_start"]
         split = within().groupBy(*parent, part).agg(*size)
-        wanted = if_small(_holding(split.withColumn(
-            "_start", F.col("_start") + _before(parent, ["_part"]))).select(*state))
+        wanted = materialize(_holding(split.withColumn(
+            "_start", F.col("_start") + _before(parent, ["_part"]))).select(*state), "quantile-buckets")
 
     counted = within().groupBy(*keys, "prob", "_low", "_high", "_share", "_start", "_value").agg(
         F.count(F.lit(1)).alias("_n"))
@@ -126,21 +128,27 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 def first_by_hash(df: DataFrame, key: str, fraction: float, seed: str = "") -> DataFrame:
     """Mark the ``ceil(fraction * n)`` rows whose hashed key sorts first.
 
-    Two small jobs find the hash at the cut; marking is then a comparison, so
-    wide rows are not moved. Hash prefixes are the buckets: they are even and
-    their number is fixed. Rows that repeat a key stay on the same side.
+    Rows without a key come last, and since nothing tells them apart they are
+    marked only when all rows are. Rows that repeat a key stay on one side.
+
+    Small jobs find the hash at the cut; marking is then a comparison, so wide
+    rows are not moved. Each job counts the next four hex digits of the hashes
+    that begin like the cut: at most 65,536 counts, however many rows there are.
     """
     digest = F.md5(F.concat(F.lit(seed), F.col(key)))
-    hashed = df.select(digest.alias("_hash")).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("bigint"))
-    counted = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    take = F.ceil(F.lit(float(fraction)) * total) - _before([], ["_bucket"])
-    edge = (counted.withColumn("_take", take)
-            .where((F.col("_take") > 0) & (F.col("_take") <= F.col("_n"))).first())
-    if edge is None:  # no row is wanted
+    total, known = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    wanted = math.ceil(fraction * total)
+    if wanted <= 0:
         return df.withColumn("is_first", F.lit(False))
-    cut = (hashed.where(F.col("_bucket") == edge["_bucket"]).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-           .withColumn("_end", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_hash")))
-           .where(F.col("_end") >= edge["_take"]).agg(F.min("_hash").alias("hash")).first()["hash"])
-    return df.withColumn("is_first", F.coalesce(digest <= F.lit(cut), F.lit(False)))
+    if wanted >= known:
+        return df.withColumn("is_first", F.col(key).isNotNull() | F.lit(wanted >= total))
+    hashed, prefix = df.select(digest.alias("_hash")), ""
+    while len(prefix) < 32:
+        counted = (hashed.where(F.col("_hash").startswith(prefix)).groupBy(F.substring("_hash", len(prefix) + 1, 4).alias("_next"))
+                   .agg(F.count(F.lit(1)).alias("_n")))
+        edge = (counted.withColumn("_before", _before([], ["_next"]))
+                .where((F.col("_before") < wanted) & (F.col("_before") + F.col("_n") >= wanted)).first())
+        prefix, wanted = prefix + edge["_next"], wanted - edge["_before"]
+        if wanted == edge["_n"]:
+            break  # all hashes that begin like this are wanted
+    return df.withColumn("is_first", F.coalesce(F.substring(digest, 1, len(prefix)) <= F.lit(prefix), F.lit(False)))

@@ -114,9 +114,9 @@ def validate_members_query(p: Pipeline) -> DataFrame:
 
 
 def raw_features(p: Pipeline) -> DataFrame:
-    t = p.tables
-    engaged = features.engagement_features(t["engagement"], p.reference_ts)
-    return features.join_features(t["members"], t["claims"], t["benefits"], engaged, p.reference_ts)
+    """The features before filling, as the feature job has written them."""
+    p.features
+    return p.builder.raw
 
 
 def validate_features_query(p: Pipeline) -> DataFrame:
@@ -153,7 +153,7 @@ def train_test(p: Pipeline) -> DataFrame:
 
 def label_encode(p: Pipeline) -> DataFrame:
     p.features  # the encoders are fitted with the feature table
-    return p.builder.encoders.frame(p.spark)
+    return p.builder.encoders.codes
 
 
 def model_versions(p: Pipeline) -> DataFrame:

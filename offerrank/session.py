@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -34,7 +33,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128
     Adaptive execution merges partitions that turn out small, so the first
     number only has to be large enough.
     """
-    wanted = min(100_000, max(8, -(-input_bytes // target_bytes)))
+    wanted = max(8, -(-input_bytes // target_bytes))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
@@ -63,17 +62,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` ready for a broadcast join if it has at most ``max_rows`` rows.
-
-    A larger frame comes back as it is, and joins by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

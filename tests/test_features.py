@@ -93,13 +93,17 @@ def test_empty_median_column_stays_null(spark):
 def test_encoder(spark):
     df = spark.createDataFrame([(">150K",), ("<30K",), ("100K",), (None,)], "v STRING")
     enc = LabelEncoder.fit(df, ["v"])
-    assert enc.labels["v"] == ["100K", "<30K", ">150K", "None"]
-    assert values(df.select(enc.code("v").alias("c")), "c") == [2, 1, 0, 3]
-    assert LabelEncoder.from_frame(enc.frame(spark)).labels == enc.labels
+    assert [r.value for r in enc.codes.orderBy("code").collect()] == ["100K", "<30K", ">150K", "None"]
+    assert {r.v: r.v_encoded for r in enc.encode(df, ["v"]).collect()} == {">150K": 2, "<30K": 1, "100K": 0, None: 3}
+    assert {r.v: r.v_encoded for r in enc.encode(df, ["v"], keep_null=["v"]).collect()}[None] is None
+    assert {r.v_encoded for r in LabelEncoder(enc.codes).encode(df, ["v"]).collect()} == {0, 1, 2, 3}
     with pytest.raises(Exception, match="unseen label"):
-        spark.createDataFrame([("new",)], "v STRING").select(enc.code("v")).collect()
-    with pytest.raises(ValueError):
-        LabelEncoder.fit(df, ["v"], max_labels=2)
+        enc.encode(spark.createDataFrame([("new",)], "v STRING"), ["v"]).collect()
+
+
+def test_encoder_of_many_labels(spark):
+    df = spark.range(1001).select(F.format_string("%05d", "id").alias("v"), "id")
+    assert LabelEncoder.fit(df, ["v"]).encode(df, ["v"]).where("v_encoded = id").count() == 1001
 
 
 def test_columns(pipeline):

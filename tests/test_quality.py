@@ -1,5 +1,5 @@
 from offerrank.operators import quality, reports
-from offerrank.operators.profile import histogram, monitor_stats
+from offerrank.operators.profile import feature_stats, histogram, monitor_stats
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,8 @@ def test_drift_with_zero_baseline_and_lost_column(spark, tmp_path):
 
 def test_stats_of_no_rows(spark):
     empty = spark.createDataFrame([], "x DOUBLE")
-    assert monitor_stats(empty, ["x"]).collect() == []
+    assert [tuple(r) for r in monitor_stats(empty, ["x"]).collect()] == [("x", None, None, None, None, None)]
+    assert [(r.feature, r["count"]) for r in feature_stats(empty, ["x"]).collect()] == [("x", 0)]
 
 
 def test_histogram_closes_the_last_bin(spark):

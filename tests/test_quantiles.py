@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from offerrank.operators.quantiles import average_ranks, exact_quantiles, first_by_hash
 
@@ -51,3 +52,17 @@ def test_hash_split_is_exact_and_independent_of_partitions(spark, n):
     for parts in (1, 9):
         marked = first_by_hash(df.repartition(parts), "member_id", 0.2, "s")
         assert {r["member_id"] for r in marked.where("is_first").collect()} == set(first)
+
+
+@pytest.mark.parametrize("known,nulls,want", [(80, 20, 20), (90, 10, 20), (5, 95, 5), (0, 10, 0)])
+def test_hash_split_puts_missing_keys_last(spark, known, nulls, want):
+    df = spark.createDataFrame([(f"M{i}",) for i in range(known)] + [(None,)] * nulls, "member_id STRING")
+    marked = first_by_hash(df, "member_id", 0.2, "s").where("is_first").collect()
+    assert len(marked) == want and all(r.member_id is not None for r in marked)
+    assert first_by_hash(df, "member_id", 1.0).where("is_first").count() == known + nulls
+
+
+def test_hash_split_of_repeated_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("member_id"))
+    marked = first_by_hash(df, "member_id", 0.3).where("is_first")
+    assert marked.count() in range(1500, 1500 + 4000) and marked.where("member_id = 'hot'").count() in (0, 4000)

@@ -87,3 +87,12 @@ def test_normalise_constant_and_unknown(spark):
 def test_catalog_from_tables(spark):
     same = Catalog.from_frames(Catalog().offers_frame(spark), Catalog().rules_frame(spark))
     assert same.offers == Catalog().offers and len(same.rules) == len(Catalog().rules)
+
+
+def test_large_catalogs_are_read_whole(spark):
+    offers = spark.range(1001).selectExpr("format_string('O%04d', id) AS offer_id", "'n' AS offer_name", "'c' AS category", "1.0D AS base_score",
+                                          "'' AS description", "1.0D AS priority_weight", "array() AS target_conditions", "CAST(1000 - id AS INT) AS ord")
+    rules = spark.range(100_001).selectExpr("'O0001' AS offer_id", "concat('r', id) AS rule", "'min' AS kind", "0.0D AS threshold", "1.0D AS boost")
+    catalog = Catalog.from_frames(offers, rules)
+    assert len(catalog.offers) == 1001 and catalog.offer_ids[0] == "O1000" and len(catalog.rules) == 100_001
+    assert [r.name for r in catalog.rules] == sorted(r.name for r in catalog.rules)
