@@ -25,7 +25,7 @@ def enrich(recs: DataFrame, catalog: Catalog) -> DataFrame:
     """Attach offer name, category and description; unknown offers keep defaults."""
     offers = catalog.offers_frame(recs.sparkSession).select(
         "offer_id", "offer_name", "category", "description")
-    joined = recs.join(offers, "offer_id", "left")
+    joined = recs.join(F.broadcast(offers), "offer_id", "left")  # the driver holds the whole list already
     return joined.withColumns({
         "offer_name": F.coalesce("offer_name", F.lit("Unknown")),
         "category": F.coalesce("category", F.lit("Unknown")),

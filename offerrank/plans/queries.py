@@ -195,14 +195,14 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def stream_feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline(spark, sf_dir)
     events = spark.sql(FEEDBACK_SQL, orders=_stream(spark, sf_dir, "orders"))
-    return plain(jobs.run_feedback_counts(events, scratch_path(spark, "feedback-counts")))
+    return plain(jobs.run_feedback_counts(events, scratch_path(spark, "feedback-counts"), scratch_path(spark, "counts-state")))
 
 
 def stream_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pipeline(spark, sf_dir)
     static = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region")}
     requests = spark.sql(MEMBERS_SQL, customer=_stream(spark, sf_dir, "customer"), **static)
-    return jobs.run_recommendations(requests, p.features, scratch_path(spark, "live-recs"))
+    return jobs.run_recommendations(requests, p.features, scratch_path(spark, "live-recs"), scratch_path(spark, "recs-state"))
 
 
 def member_prompts(p: Pipeline) -> DataFrame:
@@ -222,8 +222,12 @@ def summary_prompts(p: Pipeline) -> DataFrame:
 
 
 def member_export(p: Pipeline) -> DataFrame:
+    return member_lines(p.explanations())
+
+
+def member_lines(explained: DataFrame) -> DataFrame:
     """The nested export, one text per recommendation list for comparison."""
-    nested = explain.nested_export(p.explanations())
+    nested = explain.nested_export(explained)
     lines = F.transform("recommendations", lambda r: F.concat_ws(
         "|", r["rank"].cast("string"), r["offer_id"], F.size(r["key_factors"]).cast("string")))
     return nested.select("member_id", "profile.*", F.array_join(lines, ";").alias("offers"))
@@ -383,6 +387,10 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "feature_importance": lambda p: _model(p).feature_importance(p.spark),
         "tree_explanations": lambda p: factor_rows(p.tree_explanations(_model(p))),
         "challenger_metrics": challenger_metrics,
+        "model_consolidated": lambda p: p.consolidated(_model(p), "1"),
+        "model_export": lambda p: p.explanations(model=_model(p)).transform(member_lines),
+        "model_factor_display": lambda p: explain.display_factors(
+            p.explanations(model=_model(p)), fx, explain.profile_columns()),
     }
 
 

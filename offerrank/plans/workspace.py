@@ -19,12 +19,17 @@ from offerrank.session import materialize
 from offerrank.sources.tables import save_serving
 
 
+#: Columns of explained recommendations, whichever scores they come from.
+EXPLAINED = ["member_id", "rank", "offer_id", "offer_name", "category", "priority_score", "description", *explain.PROFILE, "top_features"]
+
+
 class Pipeline:
     """Raw tables, features, scores, recommendations and explanations.
 
     The feature table is written once and read by every later step, as a table
-    of the warehouse would be. All other steps stay lazy: scoring and ranking
-    are projections over that table.
+    of the warehouse would be. Scoring and ranking are projections over that
+    table; steps that fit constants (means, quantiles, splits) run small jobs
+    while the frame is built.
     """
 
     def __init__(self, tables: dict[str, DataFrame], reference_ts: datetime,
@@ -49,16 +54,16 @@ class Pipeline:
         scored = ranking.with_rule_scores(self.features, self.catalog)
         return ranking.recommend(scored, self.catalog, top_n, min_score, exclude_categories)
 
-    def explanations(self, k: int = 5) -> DataFrame:
-        """Recommendations with factors and the member profile columns."""
+    def explanations(self, k: int = 5, model: OfferModel | None = None) -> DataFrame:
+        """Recommendations with factors and the member profile columns, of the rules or of a model."""
+        if model is not None:
+            return self.tree_explanations(model, k)
         # the rule inputs ride along with the ranked offers: no join, no shuffle
         carried = ["member_id", *dict.fromkeys(
             [*explain.PROFILE, *explain.rule_inputs(self.catalog, self.features.columns)])]
         scored = ranking.with_rule_scores(self.features, self.catalog)
         recs = ranking.recommend(scored, self.catalog, 5, 25.0, keep=carried)
-        explained = explain.with_rule_factors(recs, self.features, self.catalog, k)
-        return explained.select("member_id", "rank", "offer_id", "offer_name", "category", "priority_score",
-                                "description", *explain.PROFILE, "top_features")
+        return explain.with_rule_factors(recs, self.features, self.catalog, k).select(*EXPLAINED)
 
     def train(self, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5, noise_sd: float = 0.0,
               parallelism: int = 4) -> OfferModel:
@@ -67,22 +72,23 @@ class Pipeline:
         return OfferModel.fit(train, self.catalog.offer_ids, FEATURES, rounds, depth, parallelism=parallelism)
 
     def tree_explanations(self, model: OfferModel, k: int = 5) -> DataFrame:
-        """Model recommendations with the strongest feature contributions."""
+        """Model recommendations with the strongest feature contributions and the member profile columns."""
         inputs = self.features.withColumn("x", feature_vector(model))
-        carried = ["member_id", "x"]
+        carried = ["member_id", "x", *explain.PROFILE]
         pairs = ranking.recommend(model.predict(inputs, carried), self.catalog, 5, 25.0, keep=carried)
-        return explain_trees(model, pairs, k)
+        return explain_trees(model, pairs, k).select(*EXPLAINED)
 
-    def publish(self, path: str) -> None:
-        """Write the tables that campaigns and lookups read."""
-        consolidated = materialize(self.consolidated(), "consolidated")
+    def publish(self, path: str, model: OfferModel | None = None, model_version: str = "demo") -> None:
+        """Write the tables that campaigns and lookups read, of the rules or of a model; explanations are made once."""
+        explained = materialize(self.explanations(model=model), "explained")
+        consolidated = materialize(explain.consolidate(explained, self.reference_ts, model_version), "consolidated")
         save_serving(consolidated, f"{path}/consolidated")
-        self.recommendations().write.mode("overwrite").parquet(f"{path}/recommendations")
+        explained.drop(*explain.PROFILE, "top_features").write.mode("overwrite").parquet(f"{path}/recommendations")
         ranking.campaign_offers(consolidated).write.mode("overwrite").parquet(f"{path}/campaign")
-        explain.nested_export(self.explanations()).write.mode("overwrite").json(f"{path}/members")
+        explain.nested_export(explained).write.mode("overwrite").json(f"{path}/members")
 
-    def consolidated(self) -> DataFrame:
-        return explain.consolidate(self.explanations(), self.reference_ts)
+    def consolidated(self, model: OfferModel | None = None, model_version: str = "demo") -> DataFrame:
+        return explain.consolidate(self.explanations(model=model), self.reference_ts, model_version)
 
     def offer_means(self, by: list[str] = ()) -> DataFrame:
         """Rule scores (y) with the mean score of the offer, or of the offer and
@@ -90,5 +96,6 @@ class Pipeline:
         y = ranking.with_rule_scores(self.features, self.catalog).select(
             "member_id", *by, F.inline("scores")).withColumnRenamed("score", "y").drop("turn", "ord")
         means = y.groupBy("offer_id", *by).agg(F.avg("y").alias("p"))
-        return y.join(F.broadcast(means) if not by else means, ["offer_id", *by]).select(
+        # as few means as offers times feature values; written, so that their size is known and they are broadcast
+        return y.join(materialize(means, "offer-means"), ["offer_id", *by]).select(
             "member_id", "offer_id", "y", "p")

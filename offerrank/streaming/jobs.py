@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerrank.catalog import Catalog
 from offerrank.operators.ranking import recommend, with_rule_scores
-from offerrank.session import scratch_path
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _PROVIDERS = "org.apache.spark.sql.execution.streaming.state."
@@ -15,12 +14,13 @@ DEFAULT_STATE_STORE = _PROVIDERS + "HDFSBackedStateStoreProvider"
 ROCKSDB_STATE_STORE = _PROVIDERS + "RocksDBStateStoreProvider"
 
 
-def feedback_counts(feedback: DataFrame, window: str = "30 days", delay: str = "3650 days") -> DataFrame:
+def feedback_counts(feedback: DataFrame, window: str = "30 days", delay: str = "7 days") -> DataFrame:
     """Running feedback counts per window and offer, each event counted once.
 
     ``feedback`` may be a stream or a batch. ``delay`` bounds how long event ids
-    are remembered; rows older than that when they arrive are late and dropped,
-    so it must exceed the real lateness.
+    and open windows are remembered after the latest event seen; rows older than
+    that when they arrive are late and dropped, so it must exceed the real
+    lateness.
     """
     if feedback.isStreaming:
         unique = feedback.withWatermark("feedback_time", delay).dropDuplicatesWithinWatermark(["feedback_id"])
@@ -33,36 +33,59 @@ def feedback_counts(feedback: DataFrame, window: str = "30 days", delay: str = "
     ).select(F.col("_w.start").alias("window_start"), "offer_id", "total_feedback", "approvals", "rejections")
 
 
-def run_feedback_counts(stream: DataFrame, output: str, checkpoint: str | None = None, **options) -> DataFrame:
-    """Process what has arrived, replace the counts table and return it.
+def latest_counts(spark: SparkSession, output: str) -> DataFrame:
+    """The counts as of the last batch that touched each window and offer."""
+    changes = spark.read.parquet(output)
+    keys = ["window_start", "offer_id"]
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
-    The remembered event ids are kept in RocksDB, outside the JVM heap, unless
-    the session names another state store.
+
+def run_feedback_counts(stream: DataFrame, output: str, checkpoint: str, **options) -> DataFrame:
+    """Process what has arrived, add the changed counts to ``output`` and return the counts as they stand.
+
+    Each batch writes the windows and offers that it changed to a folder of its
+    own, so a batch that is repeated after a failure replaces itself. The
+    remembered event ids are kept in RocksDB, outside the JVM heap, unless the
+    session names another state store.
     """
-    conf = stream.sparkSession.conf
-    if conf.get(STATE_STORE, None) in (None, DEFAULT_STATE_STORE):
-        conf.set(STATE_STORE, ROCKSDB_STATE_STORE)
+    spark = stream.sparkSession
+    if spark.conf.get(STATE_STORE, None) in (None, DEFAULT_STATE_STORE):
+        spark.conf.set(STATE_STORE, ROCKSDB_STATE_STORE)
+    _own_output(spark, output, checkpoint, f"{output}/batch=0")
     counts = feedback_counts(stream, **options)
-    query = (counts.writeStream.outputMode("complete")
-             .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "counts-state"))
-             .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(output))
+    query = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+             .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{output}/batch={batch}"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return stream.sparkSession.read.schema(counts.schema).parquet(output)
+    return latest_counts(spark, output)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _own_output(spark: SparkSession, output: str, checkpoint: str, mark: str) -> None:
+    """Refuse an output that was written with another checkpoint: it would take new batches for old ones."""
+    if _exists(spark, mark) and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{output} was written with another checkpoint than {checkpoint}")
 
 
-def run_recommendations(requests: DataFrame, features: DataFrame, output: str, catalog: Catalog | None = None,
-                        top_n: int = 5, min_score: float = 25.0, checkpoint: str | None = None) -> DataFrame:
+def run_recommendations(requests: DataFrame, features: DataFrame, output: str, checkpoint: str, catalog: Catalog | None = None,
+                        top_n: int = 5, min_score: float = 25.0) -> DataFrame:
     """Join a stream of member ids with the feature table, rank and append.
 
-    All steps are stateless, so the file sink gives exactly-once results.
+    All steps are stateless, so the file sink gives exactly-once results as
+    long as an output keeps its checkpoint.
     """
     catalog = catalog or Catalog()
+    spark = requests.sparkSession
+    _own_output(spark, output, checkpoint, f"{output}/_spark_metadata")
     asked = requests.select("member_id").join(features, "member_id")
     recs = recommend(with_rule_scores(asked, catalog), catalog, top_n, min_score)
     query = (recs.writeStream.outputMode("append").format("parquet")
-             .option("path", output)
-             .option("checkpointLocation", checkpoint or scratch_path(requests.sparkSession, "recs-state"))
+             .option("path", output).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return requests.sparkSession.read.schema(recs.schema).parquet(output)
+    return spark.read.schema(recs.schema).parquet(output)

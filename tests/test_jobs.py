@@ -17,6 +17,19 @@ def test_publish(spark, pipeline, tmp_path):
     assert spark.read.json(str(tmp_path / "members")).count() == members
 
 
+def test_publish_a_model(spark, pipeline, tmp_path):
+    model = pipeline.train(rounds=2, depth=2, parallelism=8)
+    pipeline.publish(str(tmp_path), model, "7")
+    published = spark.read.parquet(str(tmp_path / "consolidated"))
+    wanted = pipeline.explanations(model=model).select("member_id", "rank", "offer_id", "priority_score")
+    assert {r.model_version for r in published.select("model_version").distinct().collect()} == {"7"}
+    assert published.select("member_id", "rank", "offer_id", "priority_score").exceptAll(wanted).isEmpty() and published.count() == wanted.count()
+    ages = published.select("member_id", "age").distinct().join(pipeline.features.selectExpr("member_id", "age AS real"), "member_id")
+    assert ages.where("age <> real").isEmpty()
+    shown = spark.read.json(str(tmp_path / "members"))
+    assert shown.count() == wanted.select("member_id").distinct().count()
+
+
 def test_feedback_loop(spark, pipeline):
     versions = spark.createDataFrame([(3, "champion", 99.0, 99.0, 0.0)], METRICS_SCHEMA)
     feedback = pipeline.tables["feedback"]
