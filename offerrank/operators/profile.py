@@ -179,12 +179,23 @@ def feature_groups(features: list[str]) -> list[tuple[str, str]]:
             for f in features if any(w in f for w in words)]
 
 
-def feature_group_stats(stats: DataFrame) -> DataFrame:
-    """Number of features and mean missing rate of each feature group."""
+def with_groups(rows: DataFrame) -> DataFrame:
+    """One row per feature and group that it is in."""
     member = [F.when(F.greatest(*[F.col("feature").contains(w) for w in words])
                      if len(words) > 1 else F.col("feature").contains(words[0]), F.lit(group))
               for group, words in fv.FEATURE_GROUPS.items()]
-    grouped = stats.withColumn("feature_group", F.explode(F.array_compact(F.array(*member))))
-    return grouped.groupBy("feature_group").agg(
+    return rows.withColumn("feature_group", F.explode(F.array_compact(F.array(*member))))
+
+
+def feature_group_importance(importance: DataFrame) -> DataFrame:
+    """Importance of each feature group: its features' sum, its features, and the strongest of them."""
+    return with_groups(importance).groupBy("feature_group").agg(
+        F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("n_features"),
+        F.max_by("feature", F.struct("importance", "feature")).alias("strongest"))
+
+
+def feature_group_stats(stats: DataFrame) -> DataFrame:
+    """Number of features and mean missing rate of each feature group."""
+    return with_groups(stats).groupBy("feature_group").agg(
         F.count(F.lit(1)).alias("n_features"), F.min("feature").alias("first_feature"),
         F.avg("missing_pct").alias("mean_missing_pct"))

@@ -262,9 +262,9 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "feedback_load": lambda p: feedback.load_feedback(p.tables["feedback"]),
         "feedback_append": feedback_append,
         "export_json": lambda p: reports.json_rows(p.recommendations()),
-        "search_members": lambda p: reports.search_members(p.recommendations(), "0001"),
-        "list_members": lambda p: reports.list_members(p.recommendations()),
-        "member_lookup": lambda p: reports.member_recommendations(p.consolidated(), LOOKUP_MEMBER),
+        "search_members": lambda p: reports.search_members(p.serving, "0001"),
+        "list_members": lambda p: reports.list_members(p.serving),
+        "member_lookup": lambda p: reports.member_recommendations(p.serving, LOOKUP_MEMBER),
         "sample_members": lambda p: reports.sample_members(p.features.select("member_id"), 100),
         # scalar work
         "age_group": lambda p: p.tables["members"].select(
@@ -385,6 +385,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "gbt_train_metrics": gbt_train_metrics,
         "gbt_recommendations": gbt_recommendations,
         "feature_importance": lambda p: _model(p).feature_importance(p.spark),
+        "feature_group_importance": lambda p: profile.feature_group_importance(_model(p).feature_importance(p.spark)),
         "tree_explanations": lambda p: factor_rows(p.tree_explanations(_model(p))),
         "challenger_metrics": challenger_metrics,
         "model_consolidated": lambda p: p.consolidated(_model(p), "1"),

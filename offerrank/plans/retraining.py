@@ -12,6 +12,7 @@ from offerrank.operators import feedback, learn, scoring
 from offerrank.operators.features import FEATURES
 from offerrank.operators.learn import OfferModel
 from offerrank.plans.workspace import Pipeline
+from offerrank.session import materialize
 
 
 @dataclass
@@ -21,23 +22,31 @@ class Challenger:
 
 
 def adjusted_targets(p: Pipeline, given: DataFrame) -> DataFrame:
-    """Features with a feedback-adjusted ``score_<offer>`` column per offer."""
-    long = feedback.adjust_targets(scoring.rule_scores(p.features, p.catalog), given)
-    wide = long.groupBy("member_id").agg(*[
-        F.max(F.when(F.col("offer_id") == o, F.col("adjusted_score"))).alias(f"score_{o}")
-        for o in p.catalog.offer_ids])
-    return p.features.join(wide, "member_id")
+    """Features with a feedback-adjusted ``score_<offer>`` column per offer, written once.
+
+    A member's adjustments are one map, at most as long as the catalog, so the
+    wide scores are joined once and never taken apart.
+    """
+    by_offer = feedback.feedback_adjustments(given).groupBy("member_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "offer_id", F.struct("shift", "low", "high").alias("a")))).alias("_by_offer"))
+    wide = scoring.training_data(p.features, p.catalog).join(by_offer, "member_id", "left")
+    adjusted = {}
+    for o in p.catalog.offer_ids:
+        a, score = F.try_element_at("_by_offer", F.lit(o)), F.col(f"score_{o}")
+        adjusted[f"score_{o}"] = F.coalesce(F.least(a["high"], F.greatest(a["low"], score + a["shift"])), score)
+    return materialize(wide.withColumns(adjusted).drop("_by_offer"), "adjusted-targets")
 
 
 def train_challenger(p: Pipeline, given: DataFrame, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5,
                      use_weights: bool = False, parallelism: int = 4) -> Challenger:
     """Members are split first and only training rows are repeated, so that no
     copy of a training row is tested on."""
-    train, test = learn.split_train_test(adjusted_targets(p, given))
+    targets = adjusted_targets(p, given)
+    train, test = learn.split_train_test(targets)
     weighted = feedback.oversample_feedback(train, given)
     model = OfferModel.fit(weighted, p.catalog.offer_ids, FEATURES, rounds, depth,
                            "sample_weight" if use_weights else None, parallelism)
-    return Challenger(model, learn.regression_metrics(learn.prediction_pairs(model, test)))
+    return Challenger(model, materialize(learn.regression_metrics(learn.prediction_pairs(model, test)), "challenger-metrics"))
 
 
 def retrain(p: Pipeline, all_feedback: DataFrame, versions: DataFrame, **settings) -> tuple[Challenger, DataFrame] | None:

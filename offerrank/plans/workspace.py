@@ -15,7 +15,7 @@ from offerrank.operators.features import FEATURES, FeatureBuilder
 from offerrank.operators.learn import OfferModel, split_train_test
 from offerrank.operators.scoring import training_data
 from offerrank.operators.treeshap import explain_trees, feature_vector
-from offerrank.session import materialize
+from offerrank.session import materialize, scratch_path
 from offerrank.sources.tables import save_serving
 
 
@@ -49,6 +49,13 @@ class Pipeline:
         built = self.builder.build(t["members"], t["claims"], t["benefits"], t["engagement"])
         return materialize(built, "features")
 
+    @cached_property
+    def serving(self) -> DataFrame:
+        """The published recommendations in the layout that lookups read."""
+        path = scratch_path(self.spark, "serving")
+        save_serving(self.consolidated(), path)
+        return self.spark.read.parquet(path)
+
     def recommendations(self, top_n: int = 5, min_score: float | None = 25.0,
                         exclude_categories: list[str] | None = None) -> DataFrame:
         scored = ranking.with_rule_scores(self.features, self.catalog)

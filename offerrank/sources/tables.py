@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +127,9 @@ def append_feedback(batch: DataFrame, path: str) -> None:
     """Append feedback rows; a missing text is stored as an empty string."""
     (batch.withColumn("feedback_text", F.coalesce("feedback_text", F.lit("")))
           .write.mode("append").parquet(path))
+
+
+def append_feedback_event(spark: SparkSession, path: str, feedback_id: int, member_id: str, offer_id: str, feedback: str,
+                          at: datetime, text: str | None = None) -> None:
+    """Append one event. The time is the caller's; without a text it is empty."""
+    append_feedback(spark.createDataFrame([(feedback_id, member_id, offer_id, feedback, text, at)], SCHEMAS["feedback"]), path)

@@ -73,3 +73,14 @@ def test_promote(spark):
     got = fb.promote(spark.createDataFrame(rows, fb.METRICS_SCHEMA), 2)
     assert {r.version: r.alias for r in got.collect()} == {1: None, 2: "champion"}
     assert fb.latest_version(got).first().version == 2
+
+
+def test_adjusted_targets_equal_the_long_form(pipeline):
+    from offerrank.operators import feedback, scoring
+    from offerrank.plans.retraining import adjusted_targets
+    given = feedback.decided(pipeline.tables["feedback"])
+    long = feedback.adjust_targets(scoring.rule_scores(pipeline.features, pipeline.catalog), given).select("member_id", "offer_id", "adjusted_score")
+    wide = adjusted_targets(pipeline, given)
+    again = wide.unpivot("member_id", [f"score_{o}" for o in pipeline.catalog.offer_ids], "o", "adjusted_score").selectExpr(
+        "member_id", "replace(o, 'score_', '') AS offer_id", "adjusted_score")
+    assert again.exceptAll(long).isEmpty() and again.count() == long.count()

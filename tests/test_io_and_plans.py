@@ -59,6 +59,9 @@ def test_feedback_append_keeps_text_as_data(spark, tmp_path):
         tables.append_feedback(batch, str(tmp_path / "f"))
     texts = sorted(r.feedback_text for r in spark.read.parquet(str(tmp_path / "f")).collect())
     assert texts == ["", "", "it's 'fine'; DROP TABLE x", "it's 'fine'; DROP TABLE x"]
+    tables.append_feedback_event(spark, str(tmp_path / "f"), 3, "m", "o", "rejected", datetime(2002, 2, 2))
+    last = spark.read.parquet(str(tmp_path / "f")).where("feedback_id = 3").first()
+    assert (last.feedback, last.feedback_text, last.feedback_time) == ("rejected", "", datetime(2002, 2, 2))
 
 
 def test_exports(spark, pipeline, tmp_path):
@@ -93,7 +96,7 @@ def test_each_child_table_is_read_once(pipeline):
 
 def test_sql_work_stays_in_the_jvm_without_cross_products(spark, sf):
     python = {"feedback_adjusted_scores", "gbt_train_metrics", "gbt_recommendations", "feature_importance",
-              "tree_explanations", "challenger_metrics", "stream_feedback_counts", "stream_recommendations", "model_consolidated",
+              "tree_explanations", "challenger_metrics", "stream_feedback_counts", "stream_recommendations", "model_consolidated", "feature_group_importance",
               "model_export", "model_factor_display"}
     for name, build in queries.queries().items():
         if name not in python:

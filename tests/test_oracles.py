@@ -23,7 +23,7 @@ def test_equal(name, spark, sf, duck):
 def test_every_query_is_known():
     without = set(registry.queries()) - set(ORACLES)
     assert without == {"gbt_train_metrics", "gbt_recommendations", "feature_importance", "tree_explanations",
-                       "challenger_metrics", "model_consolidated", "model_export", "model_factor_display"}
+                       "challenger_metrics", "model_consolidated", "model_export", "feature_group_importance", "model_factor_display"}
     assert not set(ORACLES) - set(entry.queries())
 
 
