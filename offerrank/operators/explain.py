@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -41,17 +42,29 @@ def with_rule_factors(pairs: DataFrame, features: DataFrame, catalog: Catalog, k
     A rule score is a sum of terms, so the Shapley value of a term is the term
     minus its mean over the members in ``features``.
     """
+    return pairs.withColumn("top_features", rule_factors(features, catalog, k)(F.col("offer_id")))
+
+
+def rule_factors(features: DataFrame, catalog: Catalog, k: int = 5) -> Callable[[Column], Column]:
+    """From an offer id to its strongest factors in a row that has the rule inputs."""
     resolved = catalog.resolved_rules(features.columns)
     means = fitted(features.agg(*[F.avg(rule.boost_column(feature)).alias(str(i))
                                   for i, (rule, feature) in enumerate(resolved)]))
-    factors = F.array().cast(TERM_SCHEMA)
+    by_offer = {}
     for offer_id in reversed(catalog.offer_ids):
         terms = [f"named_struct('feature', '{feature}', 'value', CAST(`{feature}` AS DOUBLE), 'shap_value', "
                  f"{rule.boost_sql(feature)} - CAST({means[str(i)] or 0.0!r} AS DOUBLE))"
                  for i, (rule, feature) in enumerate(resolved) if rule.offer_id == offer_id]
         if terms:
-            factors = F.when(F.col("offer_id") == offer_id, F.expr(f"array({', '.join(terms)})")).otherwise(factors)
-    return pairs.withColumn("top_features", strongest(factors, k))
+            by_offer[offer_id] = F.expr(f"array({', '.join(terms)})")
+
+    def of(offer: Column) -> Column:
+        factors = F.array().cast(TERM_SCHEMA)
+        for offer_id, terms in by_offer.items():
+            factors = F.when(offer == offer_id, terms).otherwise(factors)
+        return strongest(factors, k)
+
+    return of
 
 
 def explain_rules(features: DataFrame, recs: DataFrame, catalog: Catalog, k: int = 5,
@@ -93,19 +106,30 @@ def profile_columns() -> dict[str, Column]:
             "total_claims": F.col("total_claims_count")}
 
 
+def nested_in_rows(members: DataFrame) -> DataFrame:
+    """:func:`nested_export` of rows that hold a member's profile and its ``recs`` with factors."""
+    recs = F.transform("recs", lambda r: F.struct(
+        r["rank"].alias("rank"), r["offer_id"].alias("offer_id"), r["offer_name"].alias("offer_name"),
+        r["priority_score"].alias("priority_score"), r["top_features"].alias("key_factors")))
+    return members.select("member_id", _profile(lambda c, t: F.col(c).cast(t)).alias("profile"), recs.alias("recommendations"))
+
+
+def _profile(value: Callable[[str, str], Column]) -> Column:
+    return F.struct(
+        value("age", "int").alias("age"), value("risk_score", "double").alias("risk_score"),
+        value("chronic_condition_count", "int").alias("chronic_condition_count"),
+        value("total_claims_count", "int").alias("total_claims"),
+        value("total_engagements", "int").alias("total_engagements"),
+        *[value(c, "boolean").alias(c) for c in (
+            "is_senior", "has_diabetes", "has_cardiovascular", "has_respiratory",
+            "has_mental_health", "is_complex_patient")])
+
+
 def nested_export(explained: DataFrame) -> DataFrame:
     """One row per member: profile struct and recommendations with their factors."""
-    number = lambda c, t: F.first(F.col(c).cast(t))
     rec = F.struct("rank", "offer_id", "offer_name", "priority_score",
                    F.col("top_features").alias("key_factors"))
-    profile = F.struct(
-        number("age", "int").alias("age"), number("risk_score", "double").alias("risk_score"),
-        number("chronic_condition_count", "int").alias("chronic_condition_count"),
-        number("total_claims_count", "int").alias("total_claims"),
-        number("total_engagements", "int").alias("total_engagements"),
-        *[number(c, "boolean").alias(c) for c in (
-            "is_senior", "has_diabetes", "has_cardiovascular", "has_respiratory",
-            "has_mental_health", "is_complex_patient")])
+    profile = _profile(lambda c, t: F.first(F.col(c).cast(t)))
     return explained.groupBy("member_id").agg(
         profile.alias("profile"), F.sort_array(F.collect_list(rec)).alias("recommendations"))
 

@@ -6,6 +6,7 @@ ranking needs no shuffle. Ties go to the offer that comes first in the catalog.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,17 @@ def top_offers_long(scores: DataFrame, n: int) -> DataFrame:
             .select("member_id", "rank", "offer_id", round_even(F.col("score"), 2).alias("priority_score")))
 
 
+def _chosen(catalog: Catalog, top_n: int, min_score: float | None, exclude_categories: list[str] | None) -> Column:
+    """The offers of one member's ``scores`` that are recommended, best first."""
+    chosen = F.slice(best_first(F.col("scores")), 1, 2 * top_n)
+    if min_score:
+        chosen = F.filter(chosen, lambda s: round_even(s["score"], 2) >= min_score)
+    if exclude_categories:
+        banned = catalog.ids_in_categories(exclude_categories)
+        chosen = F.filter(chosen, lambda s: ~s["offer_id"].isin(banned))
+    return F.slice(chosen, 1, top_n)
+
+
 def recommend(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_score: float | None = 30.0,
               exclude_categories: list[str] | None = None, keep: list[str] = ("member_id",)) -> DataFrame:
     """Cut to 2n, filter by rounded score and category, rank again, keep n.
@@ -59,17 +71,28 @@ def recommend(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_score: fl
     ``scored`` has a ``scores`` array column. Exclusions look at the first 2n
     offers only, so a member can end with fewer than n.
     """
-    chosen = F.slice(best_first(F.col("scores")), 1, 2 * top_n)
-    if min_score:
-        chosen = F.filter(chosen, lambda s: round_even(s["score"], 2) >= min_score)
-    if exclude_categories:
-        banned = catalog.ids_in_categories(exclude_categories)
-        chosen = F.filter(chosen, lambda s: ~s["offer_id"].isin(banned))
-    rows = _ranked_rows(scored, F.slice(chosen, 1, top_n), list(keep))
+    rows = _ranked_rows(scored, _chosen(catalog, top_n, min_score, exclude_categories), list(keep))
     return enrich(rows, catalog).select(
         *keep, "rank", "offer_id", "offer_name", "category", "priority_score", "description")
 
 
+def recommend_in_rows(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_score: float | None = 30.0,
+                      factors: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The same offers as an array ``recs`` in each member's row; members without any are left out.
+
+    ``factors`` gives the explanation of an offer id. What is made of a member's
+    offers together then needs no shuffle.
+    """
+    named = [(o.offer_id, o.offer_name, o.category, o.description) for o in catalog.offers]
+    known = [F.create_map(*[F.lit(x) for row in named for x in (row[0], row[k])]) for k in (1, 2, 3)]
+    extra = (lambda s: [factors(s["offer_id"]).alias("top_features")]) if factors else (lambda s: [])
+    recs = F.transform(_chosen(catalog, top_n, min_score, None), lambda s, i: F.struct(
+        (i + 1).alias("rank"), s["offer_id"].alias("offer_id"), known[0][s["offer_id"]].alias("offer_name"),
+        known[1][s["offer_id"]].alias("category"), round_even(s["score"], 2).alias("priority_score"),
+        known[2][s["offer_id"]].alias("description"), *extra(s)))
+    return scored.withColumn("recs", recs).where(F.size("recs") > 0).drop("scores")
+
+
 def with_rule_scores(features: DataFrame, catalog: Catalog, noise_sd: float = 0.0) -> DataFrame:
     """Features plus the ``scores`` array the ranking functions read."""
     scores = rule_score_columns(features.columns, catalog, noise_sd)
@@ -82,6 +105,13 @@ def cap_per_category(recs: DataFrame, limit: int) -> DataFrame:
     return recs.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
+def cap_in_rows(members: DataFrame, limit: int) -> DataFrame:
+    """:func:`cap_per_category` on the arrays of :func:`recommend_in_rows`."""
+    recs = F.col("recs")
+    kept = F.filter(recs, lambda r, i: F.size(F.filter(F.slice(recs, F.lit(1), i), lambda q: q["category"] == r["category"])) < limit)
+    return members.withColumn("recs", kept)
+
+
 def cooldown(recs: DataFrame, engagement: DataFrame, ref: datetime, days: int) -> DataFrame:
     """Leave out members who saw or clicked an offer in the last ``days`` days."""
     recent = engagement.where(F.col("engagement_type").startswith("offer_")
@@ -112,6 +142,12 @@ def apply_business_rules(recs: DataFrame, rules: dict, engagement: DataFrame | N
     return result
 
 
+def campaign_in_rows(members: DataFrame, n: int = 3) -> DataFrame:
+    """:func:`campaign_offers` on the arrays of :func:`recommend_in_rows`."""
+    names = F.transform(F.slice("recs", 1, n), lambda r: r["offer_name"])
+    return members.select("member_id", F.array_join(names, ", ").alias(f"top_{n}_offers"))
+
+
 def campaign_offers(recs: DataFrame, n: int = 3) -> DataFrame:
     """Names of the first ``n`` offers of each member as one text."""
     names = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("rank", "offer_name"))), 1, n),

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
-from offerrank.catalog import Catalog
 from offerrank.functions.scalar import bin_label, safe_bool, safe_float, safe_int
 from offerrank.functions.text import member_text, offer_prompt, summary_prompt
 from offerrank.operators import explain, features, feedback, learn, profile, quality, ranking, reports, scoring
@@ -210,24 +209,21 @@ def member_prompts(p: Pipeline) -> DataFrame:
 
 
 def member_texts(p: Pipeline) -> DataFrame:
-    grouped = p.explanations().groupBy("member_id", *explain.PROFILE).agg(F.sort_array(F.collect_list(F.struct(
-        "rank", "offer_id", "offer_name", "priority_score", "top_features"))).alias("recs"))
-    return grouped.select("member_id", member_text(F.col("recs")).alias("text"))
+    return p.explained_members().select("member_id", member_text(F.col("recs")).alias("text"))
 
 
 def summary_prompts(p: Pipeline) -> DataFrame:
-    nested = explain.nested_export(p.explanations())
+    nested = explain.nested_in_rows(p.explained_members())
     as_json = F.to_json(F.struct("member_id", "profile", "recommendations"))
     return nested.select("member_id", summary_prompt(as_json).alias("prompt"))
 
 
 def member_export(p: Pipeline) -> DataFrame:
-    return member_lines(p.explanations())
+    return member_lines(explain.nested_in_rows(p.explained_members()))
 
 
-def member_lines(explained: DataFrame) -> DataFrame:
+def member_lines(nested: DataFrame) -> DataFrame:
     """The nested export, one text per recommendation list for comparison."""
-    nested = explain.nested_export(explained)
     lines = F.transform("recommendations", lambda r: F.concat_ws(
         "|", r["rank"].cast("string"), r["offer_id"], F.size(r["key_factors"]).cast("string")))
     return nested.select("member_id", "profile.*", F.array_join(lines, ";").alias("offers"))
@@ -324,14 +320,14 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "recommendations": lambda p: p.recommendations(),
         "recs_filtered": lambda p: p.recommendations(5, 60.0, ["fitness", "cost_savings"]),
         "recs_enriched": recs_enriched,
-        "recs_category_cap": lambda p: ranking.apply_business_rules(p.recommendations(), {"max_per_category": 1}),
+        "recs_category_cap": lambda p: ranking.cap_in_rows(p.member_recommendations(), 1).select("member_id", F.inline("recs")),
         "recs_cooldown": lambda p: ranking.apply_business_rules(
             p.recommendations(), {"cooldown_days": 30}, engagement=p.tables["engagement"], ref=p.reference_ts),
         "recs_high_value_boost": lambda p: ranking.apply_business_rules(
             p.recommendations(), {"high_value_boost": 5.0}, segments=member_segments(p.features)),
         "recs_for_sample": lambda p: p.recommendations().join(
             reports.sample_members(p.features.select("member_id"), 100), "member_id", "left_semi"),
-        "campaign_top3": lambda p: ranking.campaign_offers(p.recommendations()),
+        "campaign_top3": lambda p: ranking.campaign_in_rows(p.member_recommendations()),
         "campaign_export": lambda p: reports.campaign_export(p.recommendations(), p.reference_ts),
         # reports
         "offer_distribution": lambda p: reports.offer_distribution(p.recommendations()),
@@ -362,7 +358,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "member_text": member_texts,
         "summary_prompt": summary_prompts,
         "member_export": member_export,
-        "export_flat": lambda p: explain.flatten_export(explain.nested_export(p.explanations())),
+        "export_flat": lambda p: explain.flatten_export(explain.nested_in_rows(p.explained_members())),
         "consolidated": lambda p: p.consolidated(),
         "factors_json_roundtrip": factors_roundtrip,
         # feedback
@@ -389,7 +385,7 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "tree_explanations": lambda p: factor_rows(p.tree_explanations(_model(p))),
         "challenger_metrics": challenger_metrics,
         "model_consolidated": lambda p: p.consolidated(_model(p), "1"),
-        "model_export": lambda p: p.explanations(model=_model(p)).transform(member_lines),
+        "model_export": lambda p: member_lines(explain.nested_export(p.explanations(model=_model(p)))),
         "model_factor_display": lambda p: explain.display_factors(
             p.explanations(model=_model(p)), fx, explain.profile_columns()),
     }

@@ -61,6 +61,11 @@ class Pipeline:
         scored = ranking.with_rule_scores(self.features, self.catalog)
         return ranking.recommend(scored, self.catalog, top_n, min_score, exclude_categories)
 
+    def member_recommendations(self, top_n: int = 5, min_score: float | None = 25.0) -> DataFrame:
+        """:meth:`recommendations` as an array ``recs`` in one row per member."""
+        scored = ranking.with_rule_scores(self.features, self.catalog)
+        return ranking.recommend_in_rows(scored, self.catalog, top_n, min_score).select("member_id", "recs")
+
     def explanations(self, k: int = 5, model: OfferModel | None = None) -> DataFrame:
         """Recommendations with factors and the member profile columns, of the rules or of a model."""
         if model is not None:
@@ -72,6 +77,13 @@ class Pipeline:
         recs = ranking.recommend(scored, self.catalog, 5, 25.0, keep=carried)
         return explain.with_rule_factors(recs, self.features, self.catalog, k).select(*EXPLAINED)
 
+    def explained_members(self, k: int = 5) -> DataFrame:
+        """:meth:`explanations` with a member's recommendations as an array in one row: no shuffle puts them together."""
+        scored = ranking.with_rule_scores(self.features, self.catalog)
+        factors = explain.rule_factors(self.features, self.catalog, k)
+        members = ranking.recommend_in_rows(scored, self.catalog, 5, 25.0, factors)
+        return members.select("member_id", *explain.PROFILE, "recs")
+
     def train(self, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5, noise_sd: float = 0.0,
               parallelism: int = 4) -> OfferModel:
         """Fit the offer models on the training members' rule scores."""

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from offerrank.operators import explain, features, reports
+from offerrank.operators import explain, features, ranking, reports
 from offerrank.plans import queries
 from offerrank.plans.workspace import Pipeline
 from offerrank.sources import tables
@@ -108,6 +108,19 @@ def test_sql_work_stays_in_the_jvm_without_cross_products(spark, sf):
 def test_ranking_and_explaining_do_not_shuffle(pipeline):
     assert "Exchange hashpartitioning" not in plan(pipeline.recommendations())
     assert "Exchange hashpartitioning" not in plan(pipeline.consolidated())
+    build = {name: query for name, query in queries._simple().items()}
+    for name in ("campaign_top3", "recs_category_cap", "member_export", "member_text", "summary_prompt", "export_flat"):
+        assert "Exchange" not in plan(build[name](pipeline)), name
+
+
+def test_rows_and_arrays_agree(pipeline):
+    """The forms for one row per member and for any recommendations give the same."""
+    recs, members = pipeline.recommendations(), pipeline.member_recommendations()
+    for rows, arrays in ((ranking.campaign_offers(recs), ranking.campaign_in_rows(members)),
+                         (ranking.cap_per_category(recs, 1), ranking.cap_in_rows(members, 1).select("member_id", F.inline("recs"))),
+                         (explain.nested_export(pipeline.explanations()), explain.nested_in_rows(pipeline.explained_members()))):
+        text = [df.select(F.to_json(F.struct(*sorted(df.columns)))) for df in (rows, arrays)]
+        assert text[0].exceptAll(text[1]).isEmpty() and text[0].count() == text[1].count()
 
 
 def test_explaining_foreign_recommendations(pipeline):
