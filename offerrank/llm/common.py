@@ -48,7 +48,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let the session delete shuffle files of frames that are done with; otherwise they stay until the driver needs memory."""
+        """Let the session delete shuffle files of frames that are done with; otherwise they stay until the driver needs memory.
+
+        The scheduler remembers the last job, so a tiny one comes in between.
+        """
+        self.spark.range(0, 1, 1, 1).write.format("noop").mode("overwrite").save()
         gc.collect()
         self.spark._jvm.System.gc()
 
