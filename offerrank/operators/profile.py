@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -135,23 +134,19 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return both.select(F.get(names, "p.i").alias("a"), F.get(names, "p.j").alias("b"), "r")
 
 
-COLUMNS_PER_PASS = 20
-
-
 def _per_column(df: DataFrame, columns: list[str], measures: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Measures of each column: rows of (feature, measures...), also for an empty frame.
 
-    One aggregate without groups for every few columns: its code compiles, and
-    of a columnar table each reads only its own columns.
+    The columns become an array that is taken apart by position. One narrow
+    aggregate with an integer key compiles to compact code for any number of
+    columns and combines map-side; its result has a row per column, so it is
+    broadcast to the list of names.
     """
-    parts = []
-    for at in range(0, len(columns), COLUMNS_PER_PASS):
-        chosen = columns[at:at + COLUMNS_PER_PASS]
-        value = {c: F.col(c).cast("double") for c in chosen}
-        row = df.agg(*[measure(value[c]).alias(f"{name}_{k}") for k, c in enumerate(chosen) for name, measure in measures.items()])
-        cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{k}").alias(name) for name in measures]) for k, c in enumerate(chosen)]
-        parts.append(row.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
+    numbers = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_place", "value"))
+    found = numbers.groupBy("_place").agg(*[measure(F.col("value")).alias(name) for name, measure in measures.items()])
+    names = df.sparkSession.range(0, 1, 1, 1).select(F.posexplode(F.lit(columns)).alias("_place", "feature"))
+    shown = [F.coalesce(name, F.lit(0)).alias(name) if name == "count" else name for name in measures]
+    return names.join(F.broadcast(found), "_place", "left").select("feature", *shown)
 
 
 def _basic_measures() -> dict[str, Callable[[Column], Column]]:
