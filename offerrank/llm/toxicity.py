@@ -6,9 +6,10 @@ table, whose sum is the word's vector: inflected forms share their stem's row.
 Filters of several widths slide over the word vectors, each keeps its largest
 response over the whole text, and a logistic unit weighs them. One dimension of the table begins at the row's
 smoothed log odds of standing in a toxic text, the rest near zero. Training is AdaGrad, one document at a time, in a
-fixed order, ``EPOCHS`` passes or more over few rows, on at most ``max_rows`` labelled rows of each class (those with
-the smallest hash of the id). Max pooling sends the gradient to one window
-per filter, so a long text costs a forward pass and a few rows.
+fixed order, ``UPDATES`` updates at any size, on at most ``max_rows`` labelled rows of each class (those with
+the smallest hash of the id; of these, rows that fit a class's half of ``MAX_BYTES``). A class that is cut more than
+the other would shift all scores, so the logit is set back by the classes' shares among all training labels. Max
+pooling sends the gradient to one window per filter, so a long text costs a forward pass and a few rows.
 
 Texts are scored whole, in portions of bounded size, however long they are.
 
@@ -38,12 +39,12 @@ from offerrank.llm.common import Scratch, in_batches, table
 
 ROWS_BITS = 15
 DIM, FILTERS, WIDTHS = 12, 8, (1, 2, 3)
-EPOCHS = 8
-MOST_EPOCHS, UPDATES = 30, 40_000
+UPDATES = 40_000
 ODDS = 0.3
 RATE = 0.1
 NOISE = 0.02
 MAX_ROWS = 3000
+MAX_BYTES = 512 << 20  # of word rows on the driver
 CUT = 0.3
 MIN_TOXIC = 10
 CHUNK = 1 << 18
@@ -143,8 +144,8 @@ def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return z.astype(np.float32)
 
 
-def train(texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit embeddings, filters and the logistic unit by AdaGrad."""
+def train(texts: list[np.ndarray], labels: list[int], epochs: int | None = None, seed: int = 7) -> Model:
+    """Fit embeddings, filters and the logistic unit by AdaGrad, in ``UPDATES`` updates or in whole passes."""
     rng = np.random.default_rng(seed)
     widest = len(WIDTHS)
     emb = rng.normal(0, NOISE, ((1 << ROWS_BITS) + 1, DIM)).astype(np.float32)
@@ -156,12 +157,14 @@ def train(texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed
     if 0 < sum(labels) < len(labels):
         emb[:, 0] = ODDS * log_odds(texts, np.array(labels))
         filters[0][0, :, 0], out[0, 0] = np.eye(DIM)[0], 1
-        epochs = max(epochs, min(MOST_EPOCHS, UPDATES // len(texts)))
+        left = epochs * len(texts) if epochs else UPDATES
         past = {"emb": np.full_like(emb, 1e-2), "bias": np.full_like(bias, 1e-2), "out": np.full_like(out, 1e-2), "out_bias": 1e-2}
         past_f = [np.full_like(f, 1e-2) for f in filters]
         rate = RATE
-        for _ in range(epochs):
-            for d in rng.permutation(len(texts)):
+        while left > 0:
+            turn = rng.permutation(len(texts))[:left]
+            left -= len(turn)
+            for d in turn:
                 rows = padded(texts[d])
                 x = vectors(emb, rows)
                 pooled, where = np.empty_like(bias), []
@@ -213,23 +216,44 @@ def for_thresholds(id_col: Column) -> Column:
     return F.coalesce(F.floor(F.crc32(id_col.cast("string")) / 4) % 8 == 0, F.lit(False))
 
 
+def fitting(sizes: list[tuple], most: int) -> list:
+    """The ids, in the order given, of rows whose word rows fit ``most`` bytes together; rows that do not fit are passed over."""
+    taken, out = 0, []
+    for i, octets in sizes:
+        need = 4 * (1 + len(STEMS)) * (octets // 2 + 1)  # a word and its gap have two bytes at least
+        if taken + need <= most:
+            taken += need
+            out.append(i)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic") -> Model:
-    """Train on at most ``max_rows`` labelled ids of each class, chosen by hash; what comes to the driver is bounded by that.
+        label_col: str = "toxic", max_bytes: int = MAX_BYTES) -> Model:
+    """Train on at most ``max_rows`` labelled ids of each class, chosen by hash, whose word rows fit ``max_bytes``; what comes to the driver is bounded by these.
 
-    The ids are chosen before any text is moved, and as many as the bound are broadcast.
+    The ids are chosen before any text is moved, and as many as the bound are
+    broadcast. Scores follow the share of toxic rows among all training labels.
     """
     known = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
              .filter(~held_out(F.col("id")) & ~for_thresholds(F.col("id"))).join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts, marks = [], []
     for mark in (1, 0):
         some = F.broadcast(known.filter(F.col("toxic") == mark).orderBy(F.xxhash64("id"), "id").limit(max_rows))
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").groupBy("id").agg(F.min("text").alias("text"))
+        sizes = rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("octets"), F.xxhash64("id").alias("h")).collect()
+        sizes = [(r["id"], r["octets"]) for r in sorted(sizes, key=lambda r: (r["h"], r["id"]))]
+        chosen = fitting(sizes, max_bytes // 2)
+        if len(chosen) < len(sizes):
+            rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("id").schema)), "id")
         found = in_batches(rows, row_batches, "id long, words binary").collect()
         for r in sorted(found, key=lambda r: r["id"]):
             texts.append(np.frombuffer(bytes(r["words"]), np.int32).reshape(-1, 1 + len(STEMS)))
             marks.append(mark)
-    return train(texts, marks)
+    model = train(texts, marks)
+    if 0 < sum(marks) < len(marks):
+        model.out_bias += float(np.log(total[1] / total[0]) - np.log(sum(marks) / (len(marks) - sum(marks))))
+    return model
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -69,3 +69,50 @@ def test_edges(spark):
 
 def test_tokens_of_words():
     assert len(toxicity.word_rows("a-b_c d")) == len(re.findall("[a-z]", "a-b_c d"))
+
+
+def test_scores_do_not_follow_the_sample(spark, monkeypatch):
+    """A sample with as many toxic as clean rows scores the held-out texts like all rows, one in nine of which is toxic."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(toxicity, "UPDATES", 12_000)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = [toxicity.word_rows(r.text) for r in docs.filter(toxicity.held_out(F.col("doc_id"))).orderBy("doc_id").limit(600).collect()]
+    shares = []
+    for most in (3000, 290):
+        model = toxicity.fit(docs, labels, max_rows=most)
+        shares.append(np.mean([model.score(w) >= 0.3 for w in held]))
+    assert abs(shares[0] - shares[1]) < 0.025
+
+
+def test_bytes_on_the_driver_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: seen.append((texts, marks)) or toxicity.Model(None, [], None, None, 0.0))
+    ids = [i for i in range(200) if fold(i) != 2 and zlib.crc32(str(i).encode()) // 4 % 8][:60]
+    docs = spark.createDataFrame([(i, "word " * (50_000 if k % 5 == 0 else 20)) for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 3 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_bytes=100_000)
+    (texts, marks), = seen
+    assert sum(t.nbytes for t in texts) <= 100_000 and 0 < sum(marks) < len(marks) == 48
+    assert model.out_bias == pytest.approx(np.log(20 / 40) - np.log(16 / 32))
+
+
+def test_updates_are_fixed(monkeypatch):
+    monkeypatch.setattr(toxicity, "UPDATES", 25)
+    turns, make = [], np.random.default_rng
+
+    class Generator:
+        def __init__(self, seed):
+            self.of = make(seed)
+
+        def permutation(self, n):
+            turns.append(n)
+            return self.of.permutation(n)
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+    monkeypatch.setattr(np.random, "default_rng", Generator)
+    for n in (2, 10):
+        turns.clear()
+        toxicity.train([toxicity.word_rows(f"word{k} x") for k in range(n)], [k % 2 for k in range(n)])
+        assert len(turns) == -(-25 // n)
