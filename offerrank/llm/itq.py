@@ -115,8 +115,8 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, None, t] ^ b[None, :, t]).astype(np.int16) for t in range(a.shape[1]))
 
 
-def candidate_batches(max_share: float, tile: int):
-    """Classes with a candidate in their bucket: key, class, part and parts of the bucket."""
+def candidate_batches(max_share: float):
+    """Classes with a candidate in their bucket of at most one tile: key, class, part and parts of the bucket."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches):
             keys, cls, codes = g.column(0).to_pylist(), g.column(1).to_numpy(), g.column(2).to_pylist()
@@ -124,10 +124,6 @@ def candidate_batches(max_share: float, tile: int):
             for s, n in zip(*runs(np.array(keys, object))):
                 if n == 1:
                     continue
-                if n > tile:
-                    parts = -(-n // tile)
-                    out.extend((keys[s], cls[s + k], k // tile, parts) for k in range(n))
-                    continue
                 t = int(keys[s].split(":", 2)[1])
                 subs = np.stack([np.frombuffer(c, np.int32) for c in codes[s:s + n]])
                 near = np.zeros(n, bool)
@@ -194,8 +190,13 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, sample:
         models[r["dim"]] = learn(unit([bytes(s["vec"]) for s in some], kind))
     # twice the share of bits that random planes would put between vectors at the least cosine
     max_share = min(1.0, 2 * float(np.arccos(min_cosine)) / np.pi + 0.05)
-    keyed = in_batches(classes.select("cls", "label", "vec"), key_batches(models, kind), "key string, cls long, code binary").repartition("key")
-    met = in_batches(keyed.sortWithinPartitions("key", "cls"), candidate_batches(max_share, tile), "key string, cls long, part int, parts int")
+    keyed = in_batches(classes.select("cls", "label", "vec"), key_batches(models, kind), "key string, cls long, code binary")
+    counts = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "itq-counts")
+    keyed = keyed.join(counts, "key")
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    hot = keyed.filter(F.col("n") > tile).select("key", "cls", F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"), parts.alias("parts"))
+    small = keyed.filter(F.col("n") <= tile).select("key", "cls", "code").repartition("key").sortWithinPartitions("key", "cls")
+    met = in_batches(small, candidate_batches(max_share), "key string, cls long, part int, parts int").unionByName(hot)
     met = scratch.write(met, "itq-met")
     dealt = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cls", "part", F.concat_ws(":", "key", F.least("part", "with").cast("string"), F.greatest("part", "with").cast("string")).alias("key"))

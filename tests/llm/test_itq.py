@@ -85,3 +85,28 @@ def test_rotation_is_orthogonal_and_balanced():
     for mean, turn in itq.learn(x):
         assert np.allclose(turn.T @ turn, np.eye(16), atol=1e-8)
         assert (abs(((x - mean) @ turn >= 0).mean(0) - 0.5) < 0.12).all()
+
+
+def test_hot_bucket_is_never_gathered_whole(spark, monkeypatch):
+    """Near copies that fill a bucket of many tiles: no group that a task holds is larger than a tile."""
+    make, tile = itq.candidate_batches, 8
+
+    def bounded(*args):
+        work = make(*args)
+
+        def checked(batches):
+            def seen():
+                key, n = None, 0
+                for b in batches:
+                    for k in b.column(0).to_pylist():
+                        key, n = k, n + 1 if k == key else 1
+                        assert n <= tile, "more than one tile"
+                    yield b
+            return work(seen())
+        return checked
+    monkeypatch.setattr(itq, "candidate_batches", bounded)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=24)
+    rows = clustered(200) + [(5000 + k, (base + rng.normal(0, 0.002, 24)).tolist(), 0) for k in range(150)]
+    _, have, want = compare(spark, rows, tile=tile)
+    assert have == want
