@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerrank.llm import itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls
+from offerrank.llm import digests, itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": spotsigs.op8,
         "op9_itq_hamming": itq.op9,
         "op10_token_counts": tokens.op10,
+        "op11_digest_index": digests.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing.SQL, "op2_license_digests": licences.sql(), "op4_url_filter": urls.SQL}
+    return {"op1_pareto_mixing": mixing.SQL, "op2_license_digests": licences.sql(), "op4_url_filter": urls.SQL,
+            "op11_digest_index": digests.SQL}
