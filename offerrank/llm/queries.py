@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerrank.llm import digests, itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls
+from offerrank.llm import digests, itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_itq_hamming": itq.op9,
         "op10_token_counts": tokens.op10,
         "op11_digest_index": digests.op11,
+        "op13_whitening": whitening.op13,
     }
 
 
