@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerrank.llm import digests, itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, urls, whitening
+from offerrank.llm import digests, itq, licences, mixing, packing, simhash, spotsigs, suffixes, tokens, toxicity, tries, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_itq_hamming": itq.op9,
         "op10_token_counts": tokens.op10,
         "op11_digest_index": digests.op11,
+        "op12_burst_tries": tries.op12,
         "op13_whitening": whitening.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_pareto_mixing": mixing.SQL, "op2_license_digests": licences.sql(), "op4_url_filter": urls.SQL,
-            "op11_digest_index": digests.SQL}
+            "op11_digest_index": digests.SQL, "op12_burst_tries": tries.SQL}
