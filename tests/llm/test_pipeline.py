@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_mixing import brute_targets
 from test_packing import check
-from test_simhash import brute_components
+from test_resemblance import brute as brute_near
 from test_suffixes import brute as brute_repeats
 
 import corpus_pipeline
@@ -40,7 +40,7 @@ def test_toxicity(spark, stages):
 
 
 def test_near_duplicates(stages):
-    want = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in stages[1]])}
+    want = {c for _, c in brute_near([(r.doc_id, r.text) for r in stages[1]])}
     rows = {r.doc_id: r for r in stages[1]}
     assert sorted(stages[2]) == sorted(rows[i] for i in want)
 
