@@ -1,22 +1,27 @@
-"""Boosted-tree models, one per offer, with ``pyspark.ml``."""
+"""Boosted-tree models, one per offer, trained together."""
 
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from functools import cached_property
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from offerrank import fixed_values as fv
 from offerrank.functions.scalar import clip_score
+from offerrank.operators.boosting import feature_array, fit, leaf_of
 from offerrank.operators.quantiles import first_by_hash
 from offerrank.operators.scoring import score_array
-from offerrank.session import materialize, scratch_path
+from offerrank.session import ship_package
 
+NODE_SCHEMA = ("ord INT, tree INT, weight DOUBLE, id INT, value DOUBLE, rows DOUBLE, left INT, right INT, "
+               "feature INT, threshold DOUBLE")
 
 
 def split_train_test(df: DataFrame, test_share: float = 0.2, seed: str = "42") -> tuple[DataFrame, DataFrame]:
@@ -34,98 +39,111 @@ class OfferModel:
     """One boosted regressor per offer over the same feature vector.
 
     Trees do not depend on the scale of a feature, so features are not scaled.
+    The model is its table of nodes: offers times rounds times leaves, which
+    the settings fix, not the data. The first tree of an offer is its mean.
     """
 
-    def __init__(self, offer_ids: list[str], feature_names: list[str], pipeline: PipelineModel,
-                 settings: dict):
+    def __init__(self, offer_ids: list[str], feature_names: list[str], nodes: pd.DataFrame, settings: dict):
         self.offer_ids = offer_ids
         self.feature_names = feature_names
-        self.pipeline = pipeline
+        self.nodes = nodes
         self.settings = settings
 
     @classmethod
     def fit(cls, data: DataFrame, offer_ids: list[str], feature_names: list[str],
-            rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5, weight_col: str | None = None,
-            parallelism: int = 4, seed: int = fv.TREE_SETTINGS["seed"]) -> "OfferModel":
+            rounds: int = fv.TREE_SETTINGS["rounds"], depth: int | None = None, weight_col: str | None = None,
+            leaves: int = fv.TREE_SETTINGS["leaves"], seed: int = fv.TREE_SETTINGS["seed"]) -> "OfferModel":
         """``data`` holds the features and a ``score_<offer>`` column per offer.
 
-        The offers are independent; a few fits run side by side so that one
-        fit's last tasks do not leave the cluster idle.
+        Trees have up to ``leaves`` leaves, of at most ``depth`` splits above
+        each when it is given.
         """
-        assembler = VectorAssembler(inputCols=feature_names, outputCol="_x", handleInvalid="error")
-        targets = [f"score_{o}" for o in offer_ids]
-        ready = assembler.transform(data).select("_x", *targets, *([weight_col] if weight_col else []))
-        # written once: every fit reads it again, in partitions of a sensible size
-        ready = materialize(ready, "training")
-
-        def fit_one(offer_id: str):
-            params = {"featuresCol": "_x", "labelCol": f"score_{offer_id}", "predictionCol": f"pred_{offer_id}",
-                      "maxIter": rounds, "maxDepth": depth, "stepSize": fv.TREE_SETTINGS["learning_rate"],
-                      "subsamplingRate": fv.TREE_SETTINGS["row_fraction"],
-                      "featureSubsetStrategy": str(fv.TREE_SETTINGS["feature_fraction"]), "seed": seed}
-            if weight_col:
-                params["weightCol"] = weight_col
-            return GBTRegressor(**params).fit(ready)
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(fit_one, offer_ids))
-        settings = {"rounds": rounds, "depth": depth, "seed": seed, "weight_col": weight_col}
-        return cls(offer_ids, feature_names, PipelineModel([assembler, *models]), settings)
+        ship_package(data.sparkSession)
+        fitted = fit(data, feature_names, [f"score_{o}" for o in offer_ids], rounds, leaves, fv.TREE_SETTINGS["learning_rate"],
+                     fv.TREE_SETTINGS["row_fraction"], fv.TREE_SETTINGS["feature_fraction"], seed, "member_id", weight_col, depth)
+        nodes = pd.DataFrame(list(fitted.nodes()), columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        settings = {"rounds": rounds, "leaves": leaves, "depth": depth, "seed": seed, "weight_col": weight_col}
+        return cls(offer_ids, feature_names, nodes, settings)
+
+    @cached_property
+    def forests(self) -> list[list[tuple]]:
+        """For each offer its trees as arrays, with the value of each node times the tree's weight."""
+        n = self.nodes.sort_values(["ord", "tree", "id"])
+        columns = {c: n[c].to_numpy() for c in ("ord", "tree", "feature", "left", "right")}
+        threshold, value = n["threshold"].fillna(0).to_numpy(float), (n["value"] * n["weight"]).to_numpy()
+        starts = np.flatnonzero(np.r_[True, (np.diff(columns["tree"]) != 0) | (np.diff(columns["ord"]) != 0)])
+        out: list[list[tuple]] = [[] for _ in self.offer_ids]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(n)]):
+            left, right = columns["left"][s:e], columns["right"][s:e]
+            deep = [0] * (e - s)
+            for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+                if a >= 0:  # children come after their parent
+                    deep[a] = deep[b] = deep[i] + 1
+            out[columns["ord"][s]].append(((columns["feature"][s:e], threshold[s:e], left, right, max(deep)), value[s:e]))
+        return out
+
+    def with_predictions(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` columns plus the array ``_pred`` of unclipped predictions, in Arrow batches."""
+        ship_package(df.sparkSession)
+        width, shared = len(self.feature_names), df.sparkSession.sparkContext.broadcast(self.forests)  # the settings bound its size
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(b.num_columns - 1).flatten().to_numpy().reshape(-1, width)
+                pred = np.zeros((len(x), len(shared.value)))
+                for k, trees in enumerate(shared.value):
+                    for arrays, value in trees:
+                        pred[:, k] += value[leaf_of(x, *arrays)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * pred.shape[1]), pa.array(pred.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "_pred"])
+
+        given = df.select(*keep, feature_array(self.feature_names).alias("_x"))
+        return given.mapInArrow(work, StructType([*given.schema.fields[:-1], StructField("_pred", ArrayType(DoubleType()))]))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with a ``pred_<offer>`` column per offer."""
+        predicted = self.with_predictions(df, df.columns)
+        return predicted.select(*df.columns, *[F.col("_pred")[k].alias(f"pred_{o}") for k, o in enumerate(self.offer_ids)])
 
     def predict(self, features: DataFrame, keep: list[str] = ("member_id",)) -> DataFrame:
         """``keep`` columns plus the array of clipped ``scores`` used for ranking."""
-        predicted = self.pipeline.transform(features)
-        scores = {o: clip_score(F.col(f"pred_{o}")) for o in self.offer_ids}
-        return predicted.select(*keep, score_array(scores).alias("scores"))
+        scores = {o: clip_score(F.col("_pred")[k]) for k, o in enumerate(self.offer_ids)}
+        return self.with_predictions(features, list(keep)).select(*keep, score_array(scores).alias("scores"))
 
     def tree_nodes(self, spark: SparkSession) -> DataFrame:
         """All tree nodes as rows of (ord, tree, weight, id, value, rows, left,
         right, feature, threshold); feature is -1 in a leaf."""
-        path = scratch_path(spark, "trees")
-        models = self.pipeline.stages[1:]
-        with ThreadPoolExecutor(8) as pool:
-            list(pool.map(lambda at: at[1].write().save(f"{path}/offer={at[0]}"), enumerate(models)))
-        weights = spark.createDataFrame(
-            [(place, i, float(w)) for place, m in enumerate(models) for i, w in enumerate(m.treeWeights)],
-            "ord INT, tree INT, weight DOUBLE")
-        node, split = F.col("nodeData"), F.col("nodeData.split")
-        nodes = spark.read.parquet(*[f"{path}/offer={place}/data" for place in range(len(models))]).select(
-            F.regexp_extract(F.col("_metadata.file_path"), "offer=(\\d+)", 1).cast("int").alias("ord"),
-            F.col("treeID").alias("tree"), node["id"].alias("id"), node["prediction"].alias("value"),
-            node["rawCount"].cast("double").alias("rows"), node["leftChild"].alias("left"),
-            node["rightChild"].alias("right"), split["featureIndex"].alias("feature"),
-            F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"))
-        return nodes.join(weights, ["ord", "tree"])
+        kinds = {"INT": pa.int32(), "DOUBLE": pa.float64()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in NODE_SCHEMA.split(", ")])
+        return spark.createDataFrame(pa.Table.from_pandas(self.nodes, schema, preserve_index=False))
 
     def feature_importance(self, spark: SparkSession) -> DataFrame:
         """Mean number of splits per model for every feature, largest first."""
-        names = spark.createDataFrame(list(enumerate(self.feature_names)), "feature_no INT, feature STRING")
-        splits = (self.tree_nodes(spark).where(F.col("feature") >= 0)
-                  .groupBy(F.col("feature").alias("feature_no")).agg(F.count(F.lit(1)).alias("splits")))
-        return names.join(splits, "feature_no", "left").select(
-            "feature", (F.coalesce("splits", F.lit(0)) / len(self.offer_ids)).alias("importance")
-        ).orderBy(F.desc("importance"), "feature")
+        splits = self.nodes.loc[self.nodes["feature"] >= 0, "feature"].value_counts()
+        rows = [(name, int(splits.get(k, 0)) / len(self.offer_ids)) for k, name in enumerate(self.feature_names)]
+        return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy(F.desc("importance"), "feature")
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.active()
+        self.tree_nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         meta = json.dumps({"offer_ids": self.offer_ids, "feature_names": self.feature_names,
                            "settings": self.settings})
         spark.createDataFrame([(meta,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, path: str) -> "OfferModel":
-        meta = json.loads(SparkSession.active().read.text(f"{path}/meta").first()["value"])
-        return cls(meta["offer_ids"], meta["feature_names"], PipelineModel.load(f"{path}/pipeline"),
-                   meta["settings"])
+        spark = SparkSession.active()
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        nodes = spark.read.parquet(f"{path}/nodes").orderBy("ord", "tree", "id").toPandas()
+        return cls(meta["offer_ids"], meta["feature_names"], nodes, meta["settings"])
 
 
 def prediction_pairs(model: OfferModel, data: DataFrame) -> DataFrame:
     """Long (member_id, offer_id, y, p) of a frame that holds the targets."""
-    predicted = model.pipeline.transform(data)
+    targets = [f"score_{o}" for o in model.offer_ids]
     pairs = [F.struct(F.lit(o).alias("offer_id"), F.col(f"score_{o}").alias("y"),
-                      clip_score(F.col(f"pred_{o}")).alias("p")) for o in model.offer_ids]
-    return predicted.select("member_id", F.inline(F.array(*pairs)))
+                      clip_score(F.col("_pred")[k]).alias("p")) for k, o in enumerate(model.offer_ids)]
+    return model.with_predictions(data, ["member_id", *targets]).select("member_id", F.inline(F.array(*pairs)))
 
 
 def _error_sums(pairs: DataFrame) -> DataFrame:

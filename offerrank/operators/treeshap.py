@@ -92,7 +92,7 @@ def explain_trees(model: OfferModel, pairs: DataFrame, k: int = 5) -> DataFrame:
     times rounds times leaves, which the model's settings fix, not the data.
     """
     spark = pairs.sparkSession
-    nodes = model.tree_nodes(spark).toPandas()
+    nodes = model.nodes
     leaves = {model.offer_ids[place]: leaf_table(part) for place, part in nodes.groupby("ord")}
     shared = spark.sparkContext.broadcast(leaves)
 

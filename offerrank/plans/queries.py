@@ -19,7 +19,6 @@ from offerrank.sources import tables
 from offerrank.sources.fixtures import FEEDBACK_SQL, MEMBERS_SQL, REFERENCE_TS, VIEWS, fixture
 from offerrank.streaming import jobs
 
-TREE_ROUNDS, TREE_DEPTH = 3, 3  # small models keep the registered learning queries short
 TIE_SHIFT = 2.5e-8
 LOOKUP_MEMBER = "MBR_00000042"
 
@@ -54,7 +53,7 @@ def _training(p: Pipeline) -> DataFrame:
 def _model(p: Pipeline) -> learn.OfferModel:
     key = next(k for k, v in _pipelines.items() if v is p)
     if key not in _models:
-        _models[key] = p.train(TREE_ROUNDS, TREE_DEPTH, parallelism=8)
+        _models[key] = p.train()
     return _models[key]
 
 
@@ -182,7 +181,7 @@ def adjusted_scores(p: Pipeline) -> DataFrame:
 def challenger_metrics(p: Pipeline) -> DataFrame:
     """Retrain on adjusted targets with feedback members repeated in training."""
     given = feedback.decided(p.tables["feedback"])
-    return train_challenger(p, given, TREE_ROUNDS, TREE_DEPTH, parallelism=8).metrics
+    return train_challenger(p, given).metrics
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

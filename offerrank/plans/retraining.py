@@ -37,15 +37,15 @@ def adjusted_targets(p: Pipeline, given: DataFrame) -> DataFrame:
     return materialize(wide.withColumns(adjusted).drop("_by_offer"), "adjusted-targets")
 
 
-def train_challenger(p: Pipeline, given: DataFrame, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5,
-                     use_weights: bool = False, parallelism: int = 4) -> Challenger:
+def train_challenger(p: Pipeline, given: DataFrame, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int | None = None,
+                     use_weights: bool = False) -> Challenger:
     """Members are split first and only training rows are repeated, so that no
     copy of a training row is tested on."""
     targets = adjusted_targets(p, given)
     train, test = learn.split_train_test(targets)
     weighted = feedback.oversample_feedback(train, given)
     model = OfferModel.fit(weighted, p.catalog.offer_ids, FEATURES, rounds, depth,
-                           "sample_weight" if use_weights else None, parallelism)
+                           "sample_weight" if use_weights else None)
     return Challenger(model, materialize(learn.regression_metrics(learn.prediction_pairs(model, test)), "challenger-metrics"))
 
 

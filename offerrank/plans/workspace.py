@@ -84,11 +84,10 @@ class Pipeline:
         members = ranking.recommend_in_rows(scored, self.catalog, 5, 25.0, factors)
         return members.select("member_id", *explain.PROFILE, "recs")
 
-    def train(self, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int = 5, noise_sd: float = 0.0,
-              parallelism: int = 4) -> OfferModel:
+    def train(self, rounds: int = fv.TREE_SETTINGS["rounds"], depth: int | None = None, noise_sd: float = 0.0) -> OfferModel:
         """Fit the offer models on the training members' rule scores."""
         train, _ = split_train_test(training_data(self.features, self.catalog, noise_sd))
-        return OfferModel.fit(train, self.catalog.offer_ids, FEATURES, rounds, depth, parallelism=parallelism)
+        return OfferModel.fit(train, self.catalog.offer_ids, FEATURES, rounds, depth)
 
     def tree_explanations(self, model: OfferModel, k: int = 5) -> DataFrame:
         """Model recommendations with the strongest feature contributions and the member profile columns."""

@@ -18,7 +18,7 @@ def test_publish(spark, pipeline, tmp_path):
 
 
 def test_publish_a_model(spark, pipeline, tmp_path):
-    model = pipeline.train(rounds=2, depth=2, parallelism=8)
+    model = pipeline.train(rounds=2, depth=2)
     pipeline.publish(str(tmp_path), model, "7")
     published = spark.read.parquet(str(tmp_path / "consolidated"))
     wanted = pipeline.explanations(model=model).select("member_id", "rank", "offer_id", "priority_score")
@@ -34,7 +34,7 @@ def test_feedback_loop(spark, pipeline):
     versions = spark.createDataFrame([(3, "champion", 99.0, 99.0, 0.0)], METRICS_SCHEMA)
     feedback = pipeline.tables["feedback"]
     assert retrain(pipeline, feedback.limit(3), versions) is None
-    challenger, table = retrain(pipeline, feedback, versions, rounds=1, depth=2, parallelism=8, use_weights=True)
+    challenger, table = retrain(pipeline, feedback, versions, rounds=1, depth=2, use_weights=True)
     assert {r.version: r.alias for r in table.collect()} == {3: None, 4: "champion"}
     assert challenger.metrics.first().rmse > 0
 

@@ -70,7 +70,7 @@ def test_model_roundtrip_and_contract(trained, spark, tmp_path):
 
 def test_tree_explanations_add_up(trained, spark, pipeline):
     model, data = trained
-    raw = model.pipeline.transform(data).select("member_id", *[F.col(f"pred_{o}") for o in model.offer_ids])
+    raw = model.transform(data).select("member_id", *[F.col(f"pred_{o}") for o in model.offer_ids])
     pairs = ranking.recommend(model.predict(data.withColumn("x", feature_vector(model)), ["member_id", "x"]),
                               pipeline.catalog, 2, None, keep=["member_id", "x"])
     total = F.aggregate("top_features", F.lit(0.0), lambda a, f: a + f["shap_value"])
