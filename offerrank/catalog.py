@@ -35,8 +35,7 @@ class Rule:
 
     def feature(self, available: list[str]) -> str | None:
         """The feature column the rule name stands for, None if there is none."""
-        stem = self.name.replace("_boost", "")
-        return next((c for c in (stem, f"{stem}_encoded", f"has_{stem}") if c in available), None)
+        return Catalog.feature_of(self.name, available)
 
     def boost_sql(self, feature: str) -> str:
         """What the rule adds, as a SQL expression."""
@@ -66,6 +65,11 @@ class Catalog:
                    [Rule(r.offer_id, r.rule, r.kind, r.threshold, r.boost)
                     for r in rules.orderBy("offer_id", "rule", "kind", "threshold", "boost").collect()])
 
+    @staticmethod
+    def feature_of(rule_name: str, available: list[str]) -> str | None:
+        stem = rule_name.replace("_boost", "")
+        return next((c for c in (stem, f"{stem}_encoded", f"has_{stem}") if c in available), None)
+
     @property
     def offer_ids(self) -> list[str]:
         return [o.offer_id for o in self.offers]
@@ -85,8 +89,11 @@ class Catalog:
 
     def resolved_rules(self, available: list[str]) -> list[tuple[Rule, str]]:
         """(rule, feature) for the rules whose feature exists, in catalog order."""
-        pairs = ((r, r.feature(available)) for o in self.offers for r in self.rules
-                 if r.offer_id == o.offer_id)
+        features = {name: self.feature_of(name, available) for name in {r.name for r in self.rules}}
+        by_offer: dict[str, list[Rule]] = {}
+        for r in self.rules:
+            by_offer.setdefault(r.offer_id, []).append(r)
+        pairs = ((r, features[r.name]) for o in self.offers for r in by_offer.get(o.offer_id, ()))
         return [(r, f) for r, f in pairs if f is not None]
 
     def unresolved_rules(self, available: list[str]) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from offerrank.catalog import Catalog
 from offerrank.functions.scalar import fitted, round_even
 from offerrank.functions.text import factor_family, factor_sentence, factor_title
+from offerrank.operators.rule_tables import RULES_AS_EXPRESSIONS, RuleTables
 
 FACTOR_SCHEMA = "ARRAY<STRUCT<feature: STRING, value: DOUBLE, shap_value: DOUBLE, direction: STRING>>"
 TERM_SCHEMA = "ARRAY<STRUCT<feature: STRING, value: DOUBLE, shap_value: DOUBLE>>"
@@ -42,6 +43,9 @@ def with_rule_factors(pairs: DataFrame, features: DataFrame, catalog: Catalog, k
     A rule score is a sum of terms, so the Shapley value of a term is the term
     minus its mean over the members in ``features``.
     """
+    if len(catalog.rules) + len(catalog.offers) > RULES_AS_EXPRESSIONS:
+        tables = RuleTables(catalog, features.columns)
+        return tables.with_factors(pairs, tables.means(features), k)
     return pairs.withColumn("top_features", rule_factors(features, catalog, k)(F.col("offer_id")))
 
 

@@ -6,6 +6,7 @@ ranking needs no shuffle. Ties go to the offer that comes first in the catalog.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from offerrank.catalog import Catalog
 from offerrank.functions.scalar import round_even, within_days
-from offerrank.operators.scoring import rule_score_columns, score_array
+from offerrank.operators.scoring import with_rule_scores  # noqa: F401
 
 
 def best_first(scores: Column) -> Column:
@@ -83,8 +84,9 @@ def recommend_in_rows(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_s
     ``factors`` gives the explanation of an offer id. What is made of a member's
     offers together then needs no shuffle.
     """
-    named = [(o.offer_id, o.offer_name, o.category, o.description) for o in catalog.offers]
-    known = [F.create_map(*[F.lit(x) for row in named for x in (row[0], row[k])]) for k in (1, 2, 3)]
+    # one literal for each map, however long the catalog
+    known = [F.from_json(F.lit(json.dumps({o.offer_id: getattr(o, name) for o in catalog.offers})), "map<string, string>")
+             for name in ("offer_name", "category", "description")]
     extra = (lambda s: [factors(s["offer_id"]).alias("top_features")]) if factors else (lambda s: [])
     recs = F.transform(_chosen(catalog, top_n, min_score, None), lambda s, i: F.struct(
         (i + 1).alias("rank"), s["offer_id"].alias("offer_id"), known[0][s["offer_id"]].alias("offer_name"),
@@ -93,12 +95,6 @@ def recommend_in_rows(scored: DataFrame, catalog: Catalog, top_n: int = 5, min_s
     return scored.withColumn("recs", recs).where(F.size("recs") > 0).drop("scores")
 
 
-def with_rule_scores(features: DataFrame, catalog: Catalog, noise_sd: float = 0.0) -> DataFrame:
-    """Features plus the ``scores`` array the ranking functions read."""
-    scores = rule_score_columns(features.columns, catalog, noise_sd)
-    return features.withColumn("scores", score_array(scores))
-
-
 def cap_per_category(recs: DataFrame, limit: int) -> DataFrame:
     """Keep the best ``limit`` offers of each category; ranks stay as they are."""
     place = F.row_number().over(Window.partitionBy("member_id", "category").orderBy("rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -10,15 +11,16 @@ from pyspark.sql import functions as F
 from offerrank.catalog import Catalog
 from offerrank.functions.scalar import clip_score, one_row
 from offerrank.operators.quantiles import average_ranks
+from offerrank.operators.rule_tables import RULES_AS_EXPRESSIONS, RuleTables
 
 
-def hash_noise(offer_id: str, sd: float, seed: int) -> Column:
+def hash_noise(offer_id: str | Column, sd: float, seed: int) -> Column:
     """Normal noise from a hash of member, offer and seed (Box-Muller).
 
     Unlike ``randn`` it does not depend on partitioning or row order.
     """
     def uniform(salt: int) -> Column:
-        digest = F.xxhash64(F.col("member_id"), F.lit(offer_id), F.lit(seed), F.lit(salt))
+        digest = F.xxhash64(F.col("member_id"), F.lit(offer_id) if isinstance(offer_id, str) else offer_id, F.lit(seed), F.lit(salt))
         return (F.pmod(digest, F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
     return F.lit(sd) * F.sqrt(-2 * F.ln(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(2))
 
@@ -50,11 +52,30 @@ def score_array(scores: dict[str, Column]) -> Column:
         for place, (offer_id, score) in enumerate(scores.items())])
 
 
+def with_rule_scores(features: DataFrame, catalog: Catalog, noise_sd: float = 0.0, seed: int = 42) -> DataFrame:
+    """Features plus the ``scores`` array the ranking functions read.
+
+    A catalog of up to ``RULES_AS_EXPRESSIONS`` rules and offers is compiled with
+    the query; a larger one is looked up in sorted tables, with the same scores.
+    """
+    if len(catalog.rules) + len(catalog.offers) <= RULES_AS_EXPRESSIONS:
+        return features.withColumn("scores", score_array(rule_score_columns(features.columns, catalog, noise_sd, seed)))
+    ids = F.from_json(F.lit(json.dumps(catalog.offer_ids)), "array<string>")
+
+    def scored(total: Column, place: Column) -> Column:
+        offer = F.element_at(ids, place + 1)
+        score = clip_score(total + hash_noise(offer, noise_sd, seed) if noise_sd else total)
+        return F.struct(score.cast("double").alias("score"), (-place).alias("turn"), offer.alias("offer_id"), place.alias("ord"))
+
+    return RuleTables(catalog, features.columns).with_totals(features, "_totals").withColumn(
+        "scores", F.transform("_totals", scored)).drop("_totals")
+
+
 def rule_scores(features: DataFrame, catalog: Catalog | None = None, noise_sd: float = 0.0,
                 seed: int = 42) -> DataFrame:
     """Target scores: rows of (member_id, offer_id, ord, score)."""
-    scores = rule_score_columns(features.columns, catalog or Catalog(), noise_sd, seed)
-    return features.select("member_id", F.inline(score_array(scores))).select(
+    scored = with_rule_scores(features, catalog or Catalog(), noise_sd, seed)
+    return scored.select("member_id", F.inline("scores")).select(
         "member_id", "offer_id", "ord", "score")
 
 

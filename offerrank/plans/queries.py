@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerrank import fixed_values as fv
 from offerrank.functions.scalar import bin_label, safe_bool, safe_float, safe_int
 from offerrank.functions.text import member_text, offer_prompt, summary_prompt
-from offerrank.operators import explain, features, feedback, learn, profile, quality, ranking, reports, scoring
+from offerrank.operators import explain, features, feedback, learn, profile, quality, ranking, reports, scoring, treeshap
 from offerrank.operators.segments import member_segments, segment_summary
 from offerrank.plans.retraining import train_challenger
 from offerrank.plans.workspace import Pipeline
@@ -178,6 +178,28 @@ def adjusted_scores(p: Pipeline) -> DataFrame:
                                    feedback.decided(p.tables["feedback"]))
 
 
+def gbt_checks(p: Pipeline) -> DataFrame:
+    """Members whose ranks have gaps or whose scores rise with rank, and scores out of range: none."""
+    by_member = gbt_recommendations(p).groupBy("member_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "priority_score"))).alias("r"))
+    gap = F.exists(F.sequence(F.lit(1), F.size("r")), lambda i: F.get("r", i - 1)["rank"] != i)
+    rises = F.exists(F.sequence(F.lit(1), F.size("r")), lambda i: F.coalesce(F.get("r", i)["priority_score"] > F.get("r", i - 1)["priority_score"], F.lit(False)))
+    off = F.exists("r", lambda s: ~s["priority_score"].between(25, 100))
+    return by_member.agg(*[F.count_if(c).alias(n) for n, c in (("gaps", gap), ("rises", rises), ("out_of_range", off))])
+
+
+def tree_additivity(p: Pipeline) -> DataFrame:
+    """Recommended pairs whose contributions and the offer's base do not add up to the prediction: none."""
+    model = _model(p)
+    pairs = treeshap.explain_trees(model, p.model_pairs(model), total="explained").select("member_id", "offer_id", "explained")
+    base = model.with_predictions(p.features, ["member_id"]).select("member_id", F.posexplode("_pred").alias("place", "pred"))
+    names = F.array(*map(F.lit, model.offer_ids))
+    base = base.select("member_id", F.element_at(names, F.col("place") + 1).alias("offer_id"), "pred").join(pairs, ["member_id", "offer_id"])
+    base = base.select("offer_id", (F.col("pred") - F.col("explained")).alias("base"))
+    spread = base.groupBy("offer_id").agg(F.min("base").alias("low"), F.max("base").alias("high"))
+    return base.join(spread, "offer_id").agg(F.count_if((F.col("base") - F.col("low") > 1e-6) | (F.col("high") - F.col("base") > 1e-6)).alias("off"))
+
+
 def challenger_metrics(p: Pipeline) -> DataFrame:
     """Retrain on adjusted targets with feedback members repeated in training."""
     given = feedback.decided(p.tables["feedback"])
@@ -379,6 +401,8 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "champion_challenger": lambda p: feedback.compare_models(model_versions(p)),
         "gbt_train_metrics": gbt_train_metrics,
         "gbt_recommendations": gbt_recommendations,
+        "gbt_checks": gbt_checks,
+        "tree_additivity": tree_additivity,
         "feature_importance": lambda p: _model(p).feature_importance(p.spark),
         "feature_group_importance": lambda p: profile.feature_group_importance(_model(p).feature_importance(p.spark)),
         "tree_explanations": lambda p: factor_rows(p.tree_explanations(_model(p))),

@@ -13,6 +13,7 @@ from offerrank.catalog import Catalog
 from offerrank.operators import explain, ranking
 from offerrank.operators.features import FEATURES, FeatureBuilder
 from offerrank.operators.learn import OfferModel, split_train_test
+from offerrank.operators.rule_tables import RULES_AS_EXPRESSIONS
 from offerrank.operators.scoring import training_data
 from offerrank.operators.treeshap import explain_trees, feature_vector
 from offerrank.session import materialize, scratch_path
@@ -38,6 +39,7 @@ class Pipeline:
         self.reference_ts = reference_ts
         self.catalog = catalog or Catalog()
         self.builder = FeatureBuilder(reference_ts)
+        self._explained: tuple = (None, None, None)
 
     @property
     def spark(self) -> SparkSession:
@@ -79,6 +81,10 @@ class Pipeline:
 
     def explained_members(self, k: int = 5) -> DataFrame:
         """:meth:`explanations` with a member's recommendations as an array in one row: no shuffle puts them together."""
+        if len(self.catalog.rules) + len(self.catalog.offers) > RULES_AS_EXPRESSIONS:
+            rows = self.explanations(k)
+            rec = F.struct(*[c for c in EXPLAINED if c not in ("member_id", *explain.PROFILE)])
+            return rows.groupBy("member_id", *explain.PROFILE).agg(F.sort_array(F.collect_list(rec)).alias("recs"))
         scored = ranking.with_rule_scores(self.features, self.catalog)
         factors = explain.rule_factors(self.features, self.catalog, k)
         members = ranking.recommend_in_rows(scored, self.catalog, 5, 25.0, factors)
@@ -89,12 +95,20 @@ class Pipeline:
         train, _ = split_train_test(training_data(self.features, self.catalog, noise_sd))
         return OfferModel.fit(train, self.catalog.offer_ids, FEATURES, rounds, depth)
 
-    def tree_explanations(self, model: OfferModel, k: int = 5) -> DataFrame:
-        """Model recommendations with the strongest feature contributions and the member profile columns."""
+    def model_pairs(self, model: OfferModel) -> DataFrame:
+        """The model's recommendations with its inputs ``x`` and the member profile columns."""
         inputs = self.features.withColumn("x", feature_vector(model))
         carried = ["member_id", "x", *explain.PROFILE]
-        pairs = ranking.recommend(model.predict(inputs, carried), self.catalog, 5, 25.0, keep=carried)
-        return explain_trees(model, pairs, k).select(*EXPLAINED)
+        return ranking.recommend(model.predict(inputs, carried), self.catalog, 5, 25.0, keep=carried)
+
+    def tree_explanations(self, model: OfferModel, k: int = 5) -> DataFrame:
+        """Model recommendations with the strongest feature contributions and the member profile columns.
+
+        Written once for the last model that was asked for: publication, export and display read the same rows.
+        """
+        if self._explained[:2] != (model, k):
+            self._explained = (model, k, materialize(explain_trees(model, self.model_pairs(model), k).select(*EXPLAINED), "tree-explanations"))
+        return self._explained[2]
 
     def publish(self, path: str, model: OfferModel | None = None, model_version: str = "demo") -> None:
         """Write the tables that campaigns and lookups read, of the rules or of a model; explanations are made once."""
