@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerrank.operators.quantiles import numbered_ranges
 from offerrank.session import materialize
 
 
@@ -12,7 +13,8 @@ class LabelEncoder:
     """Sorted labels per column; null counts as the label "None".
 
     The codes are a table of (column, value, code), fitted and applied on the
-    cluster, so a column may have any number of labels.
+    cluster, so a column may have any number of labels: they are numbered in
+    ranges, never all in one task.
     """
 
     def __init__(self, codes: DataFrame):
@@ -22,8 +24,8 @@ class LabelEncoder:
     def fit(cls, df: DataFrame, columns: list[str]) -> "LabelEncoder":
         texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in columns])
         distinct = texts.unpivot([], columns, "column", "value").distinct()
-        place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-        return cls(materialize(distinct.select("column", "value", (place - 1).cast("int").alias("code")), "labels"))
+        codes = numbered_ranges(distinct, ["value"], by=["column"])
+        return cls(materialize(codes.select("column", "value", F.col("_before").cast("int").alias("code")), "labels"))
 
     def merged_with(self, other: "LabelEncoder") -> "LabelEncoder":
         return LabelEncoder(self.codes.unionByName(other.codes))

@@ -104,24 +104,36 @@ def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFra
         for name, (c, p) in wanted.items()])
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Rows of (value, average rank from 1, total) for each distinct value.
+def numbered_ranges(df: DataFrame, order: list[str], count: str | None = None, by: list[str] = ()) -> DataFrame:
+    """``df`` with ``_before``: how many rows (or the sum of ``count``) of the same ``by`` come earlier in ``order``.
 
-    A bucket is a pair: place on the logarithmic scale, then part of the
-    observed range. So neither long tails nor a narrow range fill one bucket.
+    Rows are dealt out by ranges of (by..., order...) and numbered inside each
+    range; only one sum for each range and ``by`` is added up, so no task holds
+    more than its range.
     """
+    amount = F.col(count) if count else F.lit(1)
+    ranged = materialize(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *by)
+    own = F.sum(amount).over(inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = ranged.groupBy("_range", *by).agg(F.sum(amount).alias("_sum")).collect()
+    seen, starts = {}, []
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        group = tuple(r[c] for c in by)
+        starts.append((r["_range"], *group, seen.get(group, 0)))
+        seen[group] = seen.get(group, 0) + r["_sum"]
+    fields = ", ".join(["_range INT", *[f"`{c}` {dict(df.dtypes)[c]}" for c in by], "_start BIGINT"])
+    placed = ranged.withColumn("_own", F.coalesce(own, F.lit(0)))
+    return placed.join(df.sparkSession.createDataFrame(starts, fields), ["_range", *by]).withColumn(
+        "_before", F.col("_start") + F.col("_own")).select(*df.columns, "_before")
+
+
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """Rows of (value, average rank from 1, total) for each distinct value."""
     known = df.where(F.col(column).isNotNull())
-    finite = F.when(F.abs(column) < float("inf"), F.col(column))
-    low, high, total = known.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
-    part = even_part(F.col("_value"), F.lit(low).cast("double"), F.lit(high).cast("double"), 100 * PARTS_PER_SPLIT)
-    counted = (known.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumns({"_bucket": value_bucket(F.col("_value")), "_part": part}))
-    place = ["_bucket", "_part"]
-    starts = counted.groupBy(*place).agg(F.sum("_n").alias("_n")).select(*place, _before([], place).alias("_start"))
-    ranked = counted.join(starts, place).withColumn(
-        "_end", F.col("_start") + F.sum("_n").over(Window.partitionBy(*place).orderBy("_value")))
-    return ranked.select(F.col("_value").alias(column),
-                         (F.col("_end") - (F.col("_n") - 1) / 2).alias("average_rank"),
+    counted = known.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = materialize(numbered_ranges(counted, ["_value"], "_n"), "ranks")
+    total = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return ranked.select(F.col("_value").alias(column), (F.col("_before") + (F.col("_n") + 1) / 2).alias("average_rank"),
                          F.lit(total).alias("total"))
 
 

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerrank.operators.quantiles import average_ranks, exact_quantiles, first_by_hash
+from offerrank.operators.encode import LabelEncoder
+from offerrank.operators.quantiles import average_ranks, exact_quantiles, first_by_hash, numbered_ranges
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 3])
@@ -44,6 +45,28 @@ def test_average_ranks_of_narrow_and_wide_values(spark):
     assert [got[v] for v in sorted(x)] == list(range(1, 601))
 
 
+def test_a_million_values_next_to_an_outlier(spark):
+    df = spark.range(1_000_000).select((60 + F.col("id") * 1e-9).alias("x")).union(spark.sql("SELECT 1e300D AS x"))
+    plans = []
+    ranks = average_ranks(df, "x")
+    counted = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    plans.append(numbered_ranges(counted, ["x"], "n")._jdf.queryExecution().optimizedPlan().toString())
+    assert "windowspecdefinition(_range" in plans[0]
+    got = ranks.agg(F.count("*"), F.min("average_rank"), F.max("average_rank"), F.sum("average_rank"), F.count_if(F.col("total") != 1_000_001)).first()
+    assert tuple(got) == (1_000_001, 1.0, 1_000_001.0, 1_000_001 * 1_000_002 / 2, 0)
+    assert ranks.where("x = 1e300D").first().average_rank == 1_000_001
+    late = ranks.where("x > 60.0005").agg(F.min("average_rank")).first()[0]
+    assert late in (500_001.0, 500_002.0)
+
+
+def test_a_million_labels(spark):
+    df = spark.range(1_000_000).select(F.format_string("v%07d", (F.col("id") * 7) % 1_000_000).alias("many"), (F.col("id") % 3).cast("string").alias("few"))
+    codes = LabelEncoder.fit(df, ["many", "few"]).codes
+    assert codes.where("column = 'few'").orderBy("value").select("value", "code").collect() == [("0", 0), ("1", 1), ("2", 2)]
+    wrong = codes.where("column = 'many' AND code <> CAST(substring(value, 2) AS INT)")
+    assert wrong.isEmpty() and codes.where("column = 'many'").count() == 1_000_000
+
+
 @pytest.mark.parametrize("n", [1, 5, 1000])
 def test_hash_split_is_exact_and_independent_of_partitions(spark, n):
     ids = [f"M{i}" for i in range(n)]
