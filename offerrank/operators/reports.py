@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
 from offerrank.functions.scalar import bin_label, one_row, round_even
-from offerrank.operators.quantiles import quantile_row
+from offerrank.session import materialize
 
 
 def offer_distribution(recs: DataFrame) -> DataFrame:
@@ -46,43 +46,92 @@ def recs_by_age_group(recs: DataFrame, members: DataFrame) -> DataFrame:
     return bins.join(counts, "age_group", "left").fillna(0, ["n"])
 
 
+#: What a summary tells recommendations apart by; scores have two digits, so a tally is bounded by groups, offers and scores.
+TALLY = ["age_group", "offer_id", "offer_name", "category", "priority_score"]
+
+
+def _age_groups(members: DataFrame) -> DataFrame:
+    """The report's age bin of each member; of repeated members the highest age counts."""
+    oldest = members.where(F.col("member_id").isNotNull()).groupBy("member_id").agg(F.max("age").alias("age"))
+    return oldest.select("member_id", bin_label(F.col("age"), fv.REPORT_AGE_BINS, fv.REPORT_AGE_LABELS).alias("age_group"))
+
+
+def tally_in_rows(recs: DataFrame, members: DataFrame) -> DataFrame:
+    """Recommendations ``n`` and members counted, by age group, offer, category and score.
+
+    ``recs`` has one row per member with an array ``recs``; a member is counted
+    at its first offer, so that the sum of ``members`` is the number of members.
+    """
+    rows = (recs.select("member_id", "recs").join(_age_groups(members), "member_id", "left")
+            .select("member_id", "age_group", F.posexplode("recs").alias("_place", "_rec")))
+    first = (F.col("_place") == 0) & F.col("member_id").isNotNull()
+    return rows.groupBy("age_group", *[F.col("_rec")[c].alias(c) for c in TALLY[1:]]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(first).alias("members"))
+
+
+def tally(recs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """:func:`tally_in_rows` of any recommendations, one in a row; repeated rows count each, members once.
+
+    A member is counted at its least offer. Both counts combine before they are
+    shuffled, whatever share of the rows a member has.
+    """
+    rows = recs.select("member_id", *TALLY[1:])
+    ages = _age_groups(members) if members is not None else None
+    rows = rows.join(ages, "member_id", "left") if ages is not None else rows.withColumn("age_group", F.lit(None).cast("string"))
+    counts = rows.groupBy(*TALLY).agg(F.count(F.lit(1)).alias("n")).withColumn("members", F.lit(0).cast("bigint"))
+    firsts = (rows.where(F.col("member_id").isNotNull()).groupBy("member_id").agg(F.min(F.struct(*TALLY)).alias("_least"))
+              .groupBy("_least").agg(F.count(F.lit(1)).alias("members"))
+              .select("_least.*", F.lit(0).cast("bigint").alias("n"), "members"))
+    return counts.unionByName(firsts).groupBy(*TALLY).agg(F.sum("n").alias("n"), F.sum("members").alias("members"))
+
+
+def summary_of_tally(counted: DataFrame) -> DataFrame:
+    """Totals and score statistics in one row, all exact; rows without a score count, but not in its statistics."""
+    n, score = F.col("n"), F.col("priority_score")
+    scored = F.sum(F.when(score.isNotNull(), n))
+    centre = one_row(counted.agg(F.try_divide(F.sum(n * score), scored).alias("mean")))["mean"]
+    squares = F.sum(n * (score - F.col("_centre")) * (score - F.col("_centre")))
+    return counted.withColumn("_centre", centre).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_recommendations"),
+        F.try_divide(F.sum(n * score), scored).alias("mean_score"),
+        F.sqrt(F.try_divide(squares, scored - 1)).alias("std_score"),
+        F.min(score).alias("min_score"), F.max(score).alias("max_score"),
+        F.coalesce(F.sum("members"), F.lit(0)).alias("unique_members"),
+        F.count_distinct("offer_id").alias("unique_offers"),
+        F.percentile(score, 0.5, n).alias("median_score"),
+    ).withColumn("avg_per_member", F.try_divide(F.col("total_recommendations").cast("double"), "unique_members"))
+
+
 def recommendation_summary(recs: DataFrame) -> DataFrame:
-    """Totals and score statistics in one row. Distinct counts are exact."""
-    by_member = recs.groupBy("member_id").agg(F.count(F.lit(1)).alias("n"))
-    by_offer = recs.groupBy("offer_id").agg(F.count(F.lit(1)).alias("n"))
-    score = F.col("priority_score")
-    totals = recs.agg(
-        F.count(F.lit(1)).alias("total_recommendations"),
-        F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"),
-        F.min(score).alias("min_score"), F.max(score).alias("max_score"))
-    return totals.withColumns({
-        "unique_members": one_row(by_member.agg(F.count("member_id").alias("n")))["n"],
-        "unique_offers": one_row(by_offer.agg(F.count("offer_id").alias("n")))["n"],
-        "median_score": one_row(quantile_row(recs, {"m": ("priority_score", 0.5)}))["m"],
-    }).withColumn("avg_per_member", F.try_divide(F.col("total_recommendations").cast("double"), "unique_members"))
+    """:func:`summary_of_tally` of any recommendations; the tally is written once."""
+    return summary_of_tally(materialize(tally(recs), "tally"))
 
 
-def recommendation_report(recs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def report_of_tally(counted: DataFrame, with_ages: bool = True) -> DataFrame:
     """The summary as long rows of (section, label, value)."""
     rounded = lambda c: round_even(F.col(c).cast("double"), 4)
-    overview = recommendation_summary(recs)
     measures = ["total_recommendations", "unique_members", "unique_offers", "avg_per_member",
                 "mean_score", "std_score", "min_score", "max_score", "median_score"]
-    parts = [overview.select(F.inline(F.array(*[
+    report = summary_of_tally(counted).select(F.inline(F.array(*[
         F.struct(F.lit("overview").alias("section"), F.lit(m).alias("label"), rounded(m).alias("value"))
-        for m in measures])))]
-    counted = [("top_offers", "offer_name", top_offer_counts(recs)),
-               ("categories", "category", category_counts(recs))]
-    if members is not None:
-        counted.append(("age_groups", "age_group", recs_by_age_group(recs, members)))
-    parts += [df.select(F.lit(section).alias("section"), F.col(label).alias("label"),
-                        F.col("n").cast("double").alias("value")) for section, label, df in counted]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
+        for m in measures])))
+    totals = lambda by: counted.groupBy(by).agg(F.sum("n").alias("n"))
+    parts = [("top_offers", "offer_name", totals("offer_name").orderBy(F.desc("n"), "offer_name").limit(5)),
+             ("categories", "category", totals("category"))]
+    if with_ages:
+        bins = counted.sparkSession.createDataFrame([(b,) for b in fv.REPORT_AGE_LABELS], "age_group STRING")
+        parts.append(("age_groups", "age_group", bins.join(totals("age_group"), "age_group", "left").fillna(0, ["n"])))
+    for section, label, df in parts:
+        report = report.unionByName(df.select(F.lit(section).alias("section"), F.col(label).alias("label"),
+                                              F.col("n").cast("double").alias("value")))
     return report
 
 
+def recommendation_report(recs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """:func:`report_of_tally` of any recommendations; age groups only when members are given."""
+    return report_of_tally(materialize(tally(recs, members), "tally"), members is not None)
+
+
 def json_rows(recs: DataFrame) -> DataFrame:
     """One JSON document per recommendation."""
     return recs.select(F.to_json(F.struct(*recs.columns)).alias("value"))

@@ -14,7 +14,7 @@ from offerrank.operators import explain, features, feedback, learn, profile, qua
 from offerrank.operators.segments import member_segments, segment_summary
 from offerrank.plans.retraining import train_challenger
 from offerrank.plans.workspace import Pipeline
-from offerrank.session import scratch_path, ship_package
+from offerrank.session import materialize, scratch_path, ship_package
 from offerrank.sources import tables
 from offerrank.sources.fixtures import FEEDBACK_SQL, MEMBERS_SQL, REFERENCE_TS, VIEWS, fixture
 from offerrank.streaming import jobs
@@ -180,7 +180,8 @@ def adjusted_scores(p: Pipeline) -> DataFrame:
 
 def gbt_checks(p: Pipeline) -> DataFrame:
     """Members whose ranks have gaps or whose scores rise with rank, and scores out of range: none."""
-    by_member = gbt_recommendations(p).groupBy("member_id").agg(
+    written = materialize(gbt_recommendations(p), "model-recommendations")  # checked as published
+    by_member = written.groupBy("member_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "priority_score"))).alias("r"))
     gap = F.exists(F.sequence(F.lit(1), F.size("r")), lambda i: F.get("r", i - 1)["rank"] != i)
     rises = F.exists(F.sequence(F.lit(1), F.size("r")), lambda i: F.coalesce(F.get("r", i)["priority_score"] > F.get("r", i - 1)["priority_score"], F.lit(False)))
@@ -196,6 +197,7 @@ def tree_additivity(p: Pipeline) -> DataFrame:
     names = F.array(*map(F.lit, model.offer_ids))
     base = base.select("member_id", F.element_at(names, F.col("place") + 1).alias("offer_id"), "pred").join(pairs, ["member_id", "offer_id"])
     base = base.select("offer_id", (F.col("pred") - F.col("explained")).alias("base"))
+    base = materialize(base, "tree-bases")  # needed twice, and costly
     spread = base.groupBy("offer_id").agg(F.min("base").alias("low"), F.max("base").alias("high"))
     return base.join(spread, "offer_id").agg(F.count_if((F.col("base") - F.col("low") > 1e-6) | (F.col("high") - F.col("base") > 1e-6)).alias("off"))
 
@@ -356,8 +358,8 @@ def _simple() -> dict[str, Callable[[Pipeline], DataFrame]]:
         "category_share": lambda p: reports.category_share(p.recommendations()),
         "category_counts": lambda p: reports.category_counts(p.recommendations()),
         "top_offers": lambda p: reports.top_offer_counts(p.recommendations()),
-        "recs_summary": lambda p: reports.recommendation_summary(p.recommendations()),
-        "recs_report": lambda p: reports.recommendation_report(p.recommendations(), p.tables["members"]),
+        "recs_summary": lambda p: reports.summary_of_tally(p.tally),
+        "recs_report": lambda p: reports.report_of_tally(p.tally),
         "recs_by_age_group": lambda p: reports.recs_by_age_group(p.recommendations(), p.tables["members"]),
         "score_hist_by_rank": lambda p: profile.histogram(
             p.recommendations(), F.col("priority_score"), 30, ["rank"]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from offerrank import fixed_values as fv
 from offerrank.catalog import Catalog
-from offerrank.operators import explain, ranking
+from offerrank.operators import explain, ranking, reports
 from offerrank.operators.features import FEATURES, FeatureBuilder
 from offerrank.operators.learn import OfferModel, split_train_test
 from offerrank.operators.rule_tables import RULES_AS_EXPRESSIONS
@@ -68,6 +68,11 @@ class Pipeline:
         scored = ranking.with_rule_scores(self.features, self.catalog)
         return ranking.recommend_in_rows(scored, self.catalog, top_n, min_score).select("member_id", "recs")
 
+    @cached_property
+    def tally(self) -> DataFrame:
+        """Counts of the recommendations that the summary and the report are made of, written once."""
+        return materialize(reports.tally_in_rows(self.member_recommendations(), self.tables["members"]), "tally")
+
     def explanations(self, k: int = 5, model: OfferModel | None = None) -> DataFrame:
         """Recommendations with factors and the member profile columns, of the rules or of a model."""
         if model is not None:

@@ -188,3 +188,55 @@ def test_factors_with_unknown_names_are_shown(pipeline):
     short = explain.display_factors(explained, ["age"], explain.profile_columns())
     full = explain.display_factors(explained, explain.rule_inputs(pipeline.catalog, features.FEATURES), explain.profile_columns())
     assert short.exceptAll(full).isEmpty() and short.count() == full.count()
+
+
+def test_summary_and_report_of_one_tally(spark, pipeline):
+    """Both forms agree, and the report reads the features once."""
+    recs, members = pipeline.recommendations(), pipeline.tables["members"]
+    shown = lambda df: sorted((r.section, r.label, r.value) for r in df.collect())
+    assert shown(reports.report_of_tally(pipeline.tally)) == shown(reports.recommendation_report(recs, members))
+    assert not [r for r in shown(reports.recommendation_report(recs)) if r[0] == "age_groups"]
+    counted = plan(reports.tally_in_rows(pipeline.member_recommendations(), members))
+    assert counted.count("FileScan parquet") - plan(members).count("FileScan parquet") == 1
+
+
+def test_summary_of_odd_recommendations(spark):
+    rows = [("m1", "a", "A", "x", 10.0), ("m1", "a", "A", "x", 10.0), ("m1", "b", "B", "x", 30.0),
+            (None, "b", "B", "x", 20.0), ("m2", None, None, None, None)]
+    recs = spark.createDataFrame(rows, "member_id STRING, offer_id STRING, offer_name STRING, category STRING, priority_score DOUBLE")
+    recs = recs.withColumn("age_group", F.lit("clash"))
+    row = reports.recommendation_summary(recs).first()
+    assert (row.total_recommendations, row.unique_members, row.unique_offers) == (5, 2, 2)
+    assert (row.mean_score, row.median_score, row.min_score, row.max_score) == (17.5, 15.0, 10.0, 30.0)
+    assert abs(row.std_score - 9.574271077563381) < 1e-12 and row.avg_per_member == 2.5
+    members = spark.createDataFrame([("m1", 30), ("m1", 40), (None, 70), ("m2", None)], "member_id STRING, age INT")
+    ages = {r.label: r.value for r in reports.recommendation_report(recs, members).where("section = 'age_groups'").collect()}
+    assert ages == {"<35": 0.0, "35-50": 3.0, "50-65": 0.0, "65+": 0.0}
+
+
+def test_tables_by_member_are_aggregated_and_joined_in_place(spark, pipeline):
+    tables.create_schema_if_missing(spark, "by_member")
+    names = ["members", "claims", "benefits", "engagement"]
+    assert tables.save_by_member({n: pipeline.tables[n] for n in names}, "by_member", 4) == names
+    raw = tables.read_raw_tables(spark, "by_member")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        engaged = features.engagement_features(raw["engagement"], REFERENCE_TS)
+        assert "Exchange" not in plan(features.join_features(raw["members"], raw["claims"], raw["benefits"], engaged, REFERENCE_TS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    again = Pipeline(raw, REFERENCE_TS)
+    assert again.recommendations().exceptAll(pipeline.recommendations()).isEmpty()
+    spark.sql("DROP SCHEMA by_member CASCADE")
+
+
+def test_a_table_with_a_crowded_member_is_not_put_in_buckets(spark):
+    tables.create_schema_if_missing(spark, "crowd")
+    ids = spark.range(9000).selectExpr("CASE WHEN id < 5000 THEN NULL ELSE CAST(id AS STRING) END AS member_id", "id AS n")
+    given = {"hot": ids, "even": ids.where("n >= 5000"), "none": ids.where("false")}
+    assert tables.save_by_member(given, "crowd", 16) == ["even", "none"]
+    for name, df in given.items():
+        assert spark.table(f"crowd.{name}").exceptAll(df).isEmpty() and spark.table(f"crowd.{name}").count() == df.count()
+    assert "SelectedBucketsCount" in plan(spark.table("crowd.even").groupBy("member_id").count())
+    spark.sql("DROP SCHEMA crowd CASCADE")
