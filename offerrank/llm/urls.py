@@ -5,7 +5,7 @@ overlapping ones included. A term counts only with boundaries: the characters
 before and after it are no ASCII letters or digits. One strict term or
 ``min_soft`` different soft terms block the URL. A rule ``(action, host,
 path)`` for the host or a parent domain and the beginning of the path decides
-instead; the longest rule that fits wins, and of equally long ones the first.
+instead; the longest rule that fits wins, and of equally long ones the last in the list.
 
 Null URLs and those without ``://`` have an empty host and path; a null one is
 allowed. Repeated rows each come back. An empty table gives an empty result;

@@ -42,3 +42,9 @@ def test_longest_rule_and_own_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/x/y")], "page_id long, url string")
     got = urls.judge(pages, rules=(("allow", "c", "/x/y"), ("block", "a.b.c", "/"))).first()
     assert (got.rule, got.verdict) == ("a.b.c/", "block")
+
+
+def test_of_equally_long_rules_the_last_decides(spark):
+    pages = spark.createDataFrame([(1, "http://b.c.de/xx")], "page_id long, url string")
+    rules = (("allow", "c.de", "/xx"), ("block", "b.c.de", "/"))
+    assert [urls.judge(pages, rules=r).first().verdict for r in (rules, rules[::-1])] == ["block", "allow"]
