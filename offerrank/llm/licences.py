@@ -11,10 +11,20 @@ Null texts count as empty and match nothing, as do texts without letters or
 digits. Repeated rows each come back. An empty table gives an empty result;
 only the two named columns are read. Everything is built from column
 functions; no Python runs in tasks.
+
+The long licences stand in ``licence_texts`` under their SPDX names, and
+``SHIPPED`` says which parts of a file are known: the whole, the terms
+without the advice after them, the notice that the advice recommends. A text
+alone cannot tell "only" from "or later"; whole GNU texts are named without.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +33,9 @@ from offerrank.llm.common import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that stand for each other.
 ALIKE = ("‘’“”–—− ", "''\"\"--- ")
-COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*"
+#: A line that begins with ``(c)`` is only one with a year or name of rights after it; otherwise it is item c of a list.
+COPYRIGHT_LINE = (r"(^|\n)[^\na-z0-9]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by |[\[<{])|\(c\)[ \t,]*(?:[0-9]{4}|copyright|[\[<{])|©|all rights reserved)"
+                  r"[^\n]*")
 #: Equivalent spellings, after punctuation has become spaces.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licensable", "sublicensable"),
              ("organis", "organiz"), ("favour", "favor"), ("honour", "honor"), ("fulfil ", "fulfill "), ("judgement", "judgment"),
@@ -98,6 +110,35 @@ KNOWN = (
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
+#: Parts of the shipped files that are known: SPDX name, file, first words of the part (none: from the start), words it ends before (none: to the end).
+SHIPPED = (
+    ("Apache-2.0", "Apache-2.0", "", ""), ("Apache-2.0", "Apache-2.0", "", "APPENDIX: How to apply"), ("Apache-2.0", "Apache-2.0", "", "END OF TERMS"),
+    ("Artistic-1.0-Perl", "Artistic-1.0-Perl", "", ""), ("BSD-3-Clause", "BSD-3-Clause-UC", "", ""), ("BSL-1.0", "BSL-1.0", "", ""),
+    ("BSL-1.0", "BSL-1.0", "Permission is hereby", ""), ("CC0-1.0", "CC0-1.0", "", ""), ("CC0-1.0", "CC0-1.0", "CC0 1.0 Universal", ""),
+    ("GFDL-1.2", "GFDL-1.2", "", ""), ("GFDL-1.2", "GFDL-1.2", "", "ADDENDUM: How to use"), ("GFDL-1.3", "GFDL-1.3", "", ""),
+    ("GFDL-1.3", "GFDL-1.3", "", "ADDENDUM: How to use"), ("GPL-1.0", "GPL-1.0", "", ""), ("GPL-1.0", "GPL-1.0", "", "END OF TERMS"),
+    ("GPL-2.0", "GPL-2.0", "", ""), ("GPL-2.0", "GPL-2.0", "", "END OF TERMS"), ("GPL-3.0", "GPL-3.0", "", ""), ("GPL-3.0", "GPL-3.0", "", "END OF TERMS"),
+    ("GPL-1.0-or-later", "GPL-1.0", "This program is free software;", "Also add information"),
+    ("GPL-2.0-or-later", "GPL-2.0", "This program is free software;", "Also add information"),
+    ("GPL-3.0-or-later", "GPL-3.0", "This program is free software:", "Also add information"),
+    ("LGPL-2.0", "LGPL-2.0", "", ""), ("LGPL-2.0", "LGPL-2.0", "", "END OF TERMS"), ("LGPL-2.1", "LGPL-2.1", "", ""), ("LGPL-2.1", "LGPL-2.1", "", "END OF TERMS"),
+    ("LGPL-2.0-or-later", "LGPL-2.0", "This library is free software;", "Also add information"),
+    ("LGPL-2.1-or-later", "LGPL-2.1", "This library is free software;", "Also add information"),
+    ("LGPL-3.0", "LGPL-3.0", "", ""), ("MPL-1.1", "MPL-1.1", "", ""), ("MPL-2.0", "MPL-2.0", "", ""), ("MPL-2.0", "MPL-2.0", "", "Exhibit A - Source Code"),
+    ("MPL-2.0", "MPL-2.0", "This Source Code Form is subject to the terms", "If it is not possible or desirable"),
+    ("Unlicense", "Unlicense", "", ""),
+)
+
+
+@lru_cache(1)
+def all_known() -> tuple:
+    """``KNOWN`` and the parts of the shipped files: SPDX name and text."""
+    parts = []
+    for name, file, start, end in SHIPPED:
+        text = (files("offerrank.llm") / "licence_texts" / f"{file}.txt").read_text("utf-8")
+        text = text[text.index(start):]
+        parts.append((name, text[:text.index(end)] if end else text))
+    return KNOWN + tuple(parts)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -118,23 +159,24 @@ def digest(canonical: Column) -> Column:
     return F.when(canonical != "", F.sha2(canonical, 256))
 
 
-def known_digests(spark: SparkSession, licences: tuple = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, licences: tuple | None = None) -> DataFrame:
     """``known`` digest and ``license_id``; of licences with the same canonical text the first by name."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in licences])
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in licences or all_known()])
     listed = spark.range(1).select(F.inline(rows))
     return (listed.select("license_id", digest(whole(canonical_lines(F.col("text")))).alias("known")).filter("known is not null")
             .groupBy("known").agg(F.min("license_id").alias("license_id")))
 
 
-def scan(docs: DataFrame, licences: tuple = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, licences: tuple | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``digest``, ``license_id`` of the whole text, ``notices`` (licences of single lines, sorted, joined by commas).
 
-    The known digests are as many as the listed licences, so they are broadcast, and
-    a literal map serves the lines.
+    The digests of the listed licences are found once; as many as the list has
+    they are broadcast for the whole texts and held in a map for the lines.
     """
-    known = F.broadcast(known_digests(docs.sparkSession, licences))
-    listed = [F.lit(x) for r in known_digests(docs.sparkSession, licences).collect() for x in r]
-    by_digest = F.create_map(*listed) if listed else F.create_map().cast("map<string,string>")
+    spark = docs.sparkSession
+    listed = [(F.lit(r["known"]), F.lit(r["license_id"])) for r in known_digests(spark, licences).collect()]
+    by_digest = F.create_map(*[x for kv in listed for x in kv]) if listed else F.create_map().cast("map<string,string>")
+    known = F.broadcast(spark.range(1).select(F.explode(by_digest).alias("known", "license_id")))
     lines = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
     hashed = lines.select("id", digest(whole(F.col("lines"))).alias("digest"),
                           F.transform(F.split("lines", "\n"), lambda x: F.sha2(F.trim(x), 256)).alias("line_digests"))
@@ -159,17 +201,32 @@ def canonical_sql(text: str) -> str:
     return low
 
 
+def plain_canonical(text: str) -> str:
+    """The canonical form of a listed licence, line by line in plain Python, apart from the operator."""
+    low = text.translate(str.maketrans(UPPER + ALIKE[0], LOWER + ALIKE[1]))
+    rights = re.compile(r"[^a-z0-9]*(copyright[ \t]*(\(c\)|©|\d{4}|by |[\[<{])|\(c\)[ \t,]*(\d{4}|copyright|[\[<{])|©|all rights reserved)", re.ASCII)
+    kept = "\n".join("" if rights.match(line) else line for line in low.split("\n")).replace("&", " and ")
+    # as in the operator, words of a line are one space apart, and a line that begins or ends in other characters has a space there
+    kept = re.sub("[^\na-z0-9\x80-\U0010ffff]+", " ", kept)
+    for old, new in SPELLINGS:
+        kept = kept.replace(old, new)
+    return " ".join(x for x in re.split("[\n ]+", kept) if x)
+
+
 def sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    forms: dict[str, str] = {}
+    for name, text in all_known():
+        form = plain_canonical(text)
+        if form:
+            forms[form] = min(name, forms.get(form, name))
+    rows = ", ".join(f"('{hashlib.sha256(form.encode()).hexdigest()}', '{name}')" for form, name in forms.items())
     joined = "trim(regexp_replace(lines, '[\\n ]+', ' ', 'g'))"
     return f"""
-WITH listed(license_id, text) AS (VALUES {rows}),
-known_lines AS (SELECT license_id, {canonical_sql('text')} AS lines FROM listed),
-known AS (SELECT {joined} AS form, min(license_id) AS license_id FROM known_lines GROUP BY 1),
+WITH known(form, license_id) AS (VALUES {rows}),
 canon AS (SELECT row_number() OVER () AS r, doc_id, {canonical_sql('text')} AS lines FROM documents),
 notices AS (
   SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-  FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM canon) JOIN known ON line = form GROUP BY r)
+  FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM canon) JOIN known ON sha256(line) = form GROUP BY r)
 SELECT doc_id, CASE WHEN {joined} <> '' THEN sha256({joined}) END AS digest, license_id, notices
-FROM canon LEFT JOIN known ON {joined} = form LEFT JOIN notices USING (r)
+FROM canon LEFT JOIN known ON sha256({joined}) = form LEFT JOIN notices USING (r)
 """

@@ -1,3 +1,5 @@
+import random
+
 from compare import connect, difference
 from offerrank.llm import licences
 
@@ -34,6 +36,41 @@ def test_long_licences_differ(spark):
     assert {"0BSD", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= ids
 
 
+def test_list_items_are_no_copyright_lines(spark):
+    apache = next(t for n, t in licences.all_known() if n == "Apache-2.0" and "APPENDIX" in t)
+    cut = "\n".join(line for line in apache.split("\n") if not line.strip().startswith("(c) You must retain"))
+    filled = apache.replace("[yyyy] [name of copyright owner]", "2021 Some Person")
+    assert apache != cut and apache != filled
+    assert scan(spark, [apache, cut, filled, "(c) You must keep it.", "(c) 2020 X"]) == [("Apache-2.0", None), (None, None), ("Apache-2.0", None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(1, "(c) You must keep it."), (2, "(C) 2020 X\nAll Rights Reserved.")], "doc_id long, text string")
+    assert [r.digest is None for r in licences.scan(docs).orderBy("id").collect()] == [False, True]
+
+
+def test_licences_planted_among_documents(spark, sf, tmp_path):
+    """Every known text, restyled, is found among the documents; altered by one word it is not. The SQL agrees."""
+    rng, rows, want = random.Random(5), [], {}
+    for k, (name, text) in enumerate(licences.all_known()):
+        lines = text.split("\n")
+        if len(lines) > 3:
+            lines.insert(0, "Copyright (C) 2011-2020 Some Person")
+        styled = "\n".join(rng.choice(["", "  ", " * ", "# "]) + line.replace('"', rng.choice(["“", '"'])) for line in lines)
+        rows.append((10**6 + 2 * k, styled.upper() if k % 3 == 0 else styled))
+        want[10**6 + 2 * k] = name
+        at = text.rindex(" ")
+        rows.append((10**6 + 2 * k + 1, text[:at] + " never" + text[at:]))
+        want[10**6 + 2 * k + 1] = None
+    path = str(tmp_path / "planted")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).coalesce(1).write.parquet(f"{path}/documents")
+    table = spark.read.parquet(f"{path}/documents")
+    got = licences.scan(table).withColumnRenamed("id", "doc_id")
+    found = {r.doc_id: r.license_id for r in got.collect()}
+    assert {i: found[i] for i in want} == want
+    con = connect(sf)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/documents/*.parquet'")
+    assert difference(got, licences.sql(), con) is None
+
+
 def test_no_python(spark, sf):
     plan = licences.op2(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
