@@ -3,8 +3,18 @@
 Wherever a common word (an anchor) stands, the ``CHAIN`` next content words
 within ``REACH`` words form a signature with it; words of the stop list are
 skipped. The set of a text's signatures (hashed to 32 bits, sorted) is its
-fingerprint. A text without any signature has one made of all its words, so
-equal texts have equal fingerprints and empty ones are alike.
+fingerprint.
+
+Anchors are words of four languages, and texts in other languages, lists or
+code hold few of them. So every text also gets the ``ALWAYS`` least hashes of
+its chains of two neighbouring words; one with fewer than ``FEW`` anchored
+signatures gets ``SPARE`` of them, and, if it also has fewer than ``SHORT``
+words (or is written without spaces), as many of its chains of four characters.
+Which chains are taken depends on their content alone, so they survive edits
+elsewhere in the text. A text without any chain has one signature made of all
+of it; equal texts have equal fingerprints and empty ones are alike. Words
+repeated over and over are one chain: what they share with another text is
+then one signature, or none.
 
 ``near_pairs`` compares whole collections: sets are classed by length so that
 only neighbouring classes can reach the wanted Jaccard, only the rarest
@@ -19,6 +29,8 @@ is built from column functions; no Python runs in tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +46,8 @@ STOP = ANCHORS + ("a", "an", "and", "as", "at", "be", "by", "for", "from", "had"
                   "se", "su", "y")
 CHAIN = 2
 REACH = 8
+FEW, ALWAYS, SPARE, SHORT = 8, 8, 32, 16
+BLOCK, MOST_BLOCKS = 20_000, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,20 +56,41 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
 
 
-def signatures(words: Column) -> Column:
-    """Sorted distinct signature hashes of an array of words; ``words`` must be a column, not an expression."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is found once however often ``then`` names it, also where a filter is moved below the projection."""
+    return F.transform(F.array(value), then)[0]
+
+
+def anchored(words: Column) -> Column:
+    """Sorted distinct hashes of the chains after anchors."""
     def at(word: Column, k: Column) -> Column:
         ahead = F.filter(F.slice(words, k + 2, REACH), lambda w: ~w.isin(*STOP))
         return F.when(word.isin(*ANCHORS) & (F.size(ahead) >= CHAIN), F.hash(word, F.slice(ahead, 1, CHAIN)))
 
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(words, at), F.isnotnull)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.hash(words)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(words, at), F.isnotnull)))
+
+
+def least_chains(parts: Column, length: int, most: Column) -> Column:
+    """The ``most`` least hashes of ``length`` neighbours in ``parts``."""
+    starts = F.when(F.size(parts) >= length, F.sequence(F.lit(1), F.size(parts) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(starts, lambda k: F.hash(F.slice(parts, k, length))))), F.lit(1), most)
+
+
+def completed(found: Column, words: Column, text: Column) -> Column:
+    """``found`` with the least chains of the text; ``text`` is the canonical text."""
+    few = F.size(found) < FEW
+    pairs = least_chains(words, 2, F.when(few, F.lit(SPARE)).otherwise(F.lit(ALWAYS)))
+    chars = F.when(few & (F.size(words) < SHORT), least_chains(F.split(text, ""), 4, F.lit(SPARE))).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.array_distinct(F.concat(found, pairs, chars)))
 
 
 def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` with the signature set of ``text``."""
-    cut = df.withColumn("_words", F.split(canonical(text), " "))
-    return cut.withColumn(name, signatures(F.col("_words"))).drop("_words")
+    def filled(found: Column, words: Column, plain: Column) -> Column:
+        return let(completed(found, words, plain), lambda sigs: F.when(F.size(sigs) > 0, sigs).otherwise(F.array(F.hash(words))))
+
+    return df.withColumn(name, let(canonical(text), lambda plain: let(F.split(plain, " "), lambda words: let(
+        anchored(words), lambda found: filled(found, words, plain)))))
 
 
 def as_text(sigs: Column) -> Column:
@@ -63,8 +98,7 @@ def as_text(sigs: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
 
 
 def near_pairs(docs: DataFrame, min_jaccard: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,14 +134,13 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``docs`` (``id``, ``text``, ...) with ``next_<c>`` for each kept column: that of the next row by id, of the first after the last.
 
     Rows are moved once, to blocks of neighbouring ids; the first row of each
-    block is also sent to the block before it. As many ids as there are
-    shuffle partitions come to the driver.
+    block is also sent to the block before it. Blocks have ``BLOCK`` rows until
+    there are ``MOST_BLOCKS``, then they grow. One id for each comes to the driver.
     """
-    spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(max(2, -(-docs.count() // BLOCK)), MOST_BLOCKS)
     edges = docs.agg(F.percentile_approx("id", [k / blocks for k in range(1, blocks)] or [0.5], 10 * blocks).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    bounds = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<bigint>")
+    bounds = F.lit(edges) if edges else F.array().cast("array<bigint>")
     steps = F.array(*[F.lit(1 << k) for k in range(len(edges).bit_length() - 1, -1, -1)] or [F.lit(0)])
     below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         (at + step <= len(edges)) & (F.try_element_at(bounds, at + step) <= F.col("id")), at + step).otherwise(at))
@@ -118,7 +151,7 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
     if not firsts:
         return placed.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in keep])
     numbers = [b for b, _ in firsts]
-    before = F.create_map(*[F.lit(x) for k, b in enumerate(numbers) for x in (b, numbers[k - 1])])
+    before = F.map_from_arrays(F.lit(numbers), F.lit([numbers[-1], *numbers[:-1]]))
     ids = [i for _, i in firsts if i is not None]
     heads = placed.filter(F.col("id").isin(ids) | F.col("id").isNull() if None in dict(firsts).values() else F.col("id").isin(ids))
     rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("id").asc_nulls_last(), "text"))
