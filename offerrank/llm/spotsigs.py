@@ -47,7 +47,7 @@ STOP = ANCHORS + ("a", "an", "and", "as", "at", "be", "by", "for", "from", "had"
 CHAIN = 2
 REACH = 8
 FEW, ALWAYS, SPARE, SHORT = 8, 8, 32, 16
-BLOCK, MOST_BLOCKS = 20_000, 10_000
+BLOCK, MOST_BLOCKS = 2_000, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
