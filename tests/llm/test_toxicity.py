@@ -116,3 +116,38 @@ def test_updates_are_fixed(monkeypatch):
         turns.clear()
         toxicity.train([toxicity.word_rows(f"word{k} x") for k in range(n)], [k % 2 for k in range(n)])
         assert len(turns) == -(-25 // n)
+
+
+def plain_score(model, rows):
+    """The network by single windows, filters and words, in doubles."""
+    widest = len(model.filters)
+    rows = [list(r) for r in toxicity.padded(rows)]
+    z = float(model.out_bias)
+    x = [[sum(float(model.emb[r, d]) for r in word) for d in range(toxicity.DIM)] for word in rows]
+    for k in range(widest):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(sum(a * float(w) for a, w in zip(x[at + j], model.filters[k][j, :, f])) for j in range(k + 1))
+                       for at in range(len(x) - widest + 1))
+            z += max(best + float(model.bias[k, f]), 0) * float(model.out[k, f])
+    return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+
+def test_scores_by_a_plain_forward_pass(spark, sf):
+    """All texts of a table are scored; the shorter ones, 6,000 words together, are compared with plain loops."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(10_000, None, None), (10_001, "", "xx"), (10_002, "one", "en")], docs.schema))
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = {r.doc_id: toxicity.word_rows(r.text) for r in docs.collect()}
+    ids = [i for i in sorted(marks) if i in rows and fold(i) != 2]
+    model = toxicity.train([rows[i] for i in ids], [int(marks[i]) for i in ids], epochs=1)
+    got = {r.id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert set(got) == set(rows)
+    short = sorted(rows, key=lambda i: len(rows[i]))
+    taken, total = [], 0
+    for i in short:
+        total += len(rows[i])
+        if total > 6_000:
+            break
+        taken.append(i)
+    assert len(taken) > 20
+    assert all(got[i] == pytest.approx(plain_score(model, rows[i]), abs=2e-4) for i in taken)
