@@ -1,5 +1,6 @@
 """Hand-computed rows for the rules that are easy to get wrong."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from offerrank import fixed_values as fv
 from offerrank.functions.scalar import bin_label, elapsed_days, round_even, safe_bool, safe_float, safe_int, title_case
 from offerrank.operators import features as fx
 from offerrank.operators.encode import LabelEncoder
+from offerrank.session import materialize
 from offerrank.sources.tables import SCHEMAS
 
 REF = datetime(2001, 11, 5, 12)
@@ -50,6 +52,42 @@ def claim(member, claim_id, when, kind="lab", dx="diabetes", amount=100.0):
     return (claim_id, member, datetime.fromisoformat(when), kind, dx, amount, amount, 80.0, 20.0, None, True, "paid", None)
 
 
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    """Half a cent must fall the same way on any layout: the sum is that of exact arithmetic."""
+    amounts = [round(1234.5678 * (k * 7919 % 1000 + 1) / 1000 + 10 ** (k % 6), 4) for k in range(3000)]
+    want = math.fsum(amounts)
+    for order in (amounts, amounts[::-1], sorted(amounts)):
+        rows = spark.createDataFrame([(a,) for a in order], "a DOUBLE").coalesce(1)
+        assert rows.agg(fx.exact_sum("a")).first()[0] == want
+    odd = spark.createDataFrame([(1, float("inf")), (1, 2.0), (2, None), (3, 0.5), (3, None)], "k INT, a DOUBLE")
+    assert {r[0]: r[1] for r in odd.groupBy("k").agg(fx.exact_sum("a")).collect()} == {1: float("inf"), 2: None, 3: 0.5}
+
+
+def test_total_member_cost_is_exact(spark):
+    amounts = [round(1234.5678 * (k * 7919 % 1000 + 1) / 1000 + 10 ** (k % 6), 4) for k in range(3000)]
+    rows = [(str(k), "a", None, "lab", "x", a, a, a, a, None, True, "paid", None) for k, a in enumerate(amounts)]
+    row = fx.claim_features(spark.createDataFrame(rows, SCHEMAS["claims"]).coalesce(1), REF).first()
+    assert row["total_member_cost"] == row["total_paid_amount"] == row["total_claims_amount"] == math.fsum(amounts)
+    assert row["avg_member_cost"] == math.fsum(amounts) / 3000
+
+
+@pytest.mark.parametrize("unlisted,passes", [(["odd", "odd"], 1), (["odd", "rare", "new"], 2)])
+def test_claims_are_read_again_only_for_several_unlisted_diagnoses(spark, monkeypatch, unlisted, passes):
+    rows = [claim("a", str(k), "2001-10-06T12:00:00", dx=d) for k, d in enumerate(["diabetes", *unlisted])] + [claim("b", "9", "2001-10-06T12:00:00")]
+    empty = {n: spark.createDataFrame([], SCHEMAS[n]) for n in ("benefits", "engagement")}
+    members = spark.createDataFrame([("a",), ("b",), ("c",)], "member_id STRING")
+    members = members.select("member_id", *[F.lit(None).cast(t).alias(n) for n, t in spark.createDataFrame([], SCHEMAS["members"]).dtypes[1:]])
+    claims, written = spark.createDataFrame(rows, SCHEMAS["claims"]), []
+    monkeypatch.setattr(fx, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    engaged = fx.engagement_features(empty["engagement"], REF)
+    got = fx.written_features(members, claims, empty["benefits"], engaged, REF)
+    want = fx.join_features(members, claims, empty["benefits"], engaged, REF)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(written) == passes
+    counts = {r["member_id"]: (r["unique_diagnosis_count"], r["is_complex_patient"]) for r in got.collect()}
+    assert counts == {"a": (1 + len(set(unlisted)), int(len(set(unlisted)) >= 2)), "b": (1, 0), "c": (None, None)}
+
+
 def test_claims(spark):
     rows = [claim("a", "1", "2001-10-06T12:00:00"), claim("a", "2", "2001-10-06T11:59:59", dx="new disease"),
             claim("a", "3", "2002-01-01T00:00:00", dx="oncology"), claim("b", "4", "1999-01-01T00:00:00")]
