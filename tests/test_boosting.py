@@ -84,6 +84,39 @@ def test_the_same_on_any_layout(data, monkeypatch):
     assert list(train(data, rows_in_task=100, **settings).nodes()) == first
 
 
+def test_joint_histograms_are_those_of_single_features():
+    """Few and many bins, rows of several slots, weights or none, sums too large for one number: all by the same count."""
+    rng, sizes = np.random.default_rng(2), [64, 2, 5, 1, 30, 2, 64, 3, 14]
+    of = boosting.Histograms([np.arange(n - 1.0) for n in sizes])
+    assert sum(map(len, of.groups)) == len(sizes) and len(of.groups) < len(sizes)
+    n = 4 * boosting.ROWS_FOR_JOINT
+    columns = np.stack([rng.integers(0, k, n) for k in sizes]).astype(np.uint8)
+    slot, mask, at = rng.integers(0, 2, n), np.arange(len(sizes)), np.flatnonzero(rng.random(n) < 0.9)
+    for size, w in ((1 << 20, None), (1 << 42, None), (1 << 20, rng.integers(1, 4, n).astype(float))):
+        q = rng.integers(-size, size, n).astype(float)
+        sums = of.of(columns, of.codes(columns), at, q[at], None if w is None else w[at], mask, slot[at], 2)
+        for f, start in enumerate(of.starts):
+            for s in range(2):
+                own = at[slot[at] == s]
+                for j, v in enumerate((q, np.ones(n) if w is None else w)):
+                    assert sums[j, s, start:start + sizes[f]].tolist() == np.bincount(columns[f, own], v[own], sizes[f]).tolist()
+
+
+def test_leaves_by_columns_are_those_by_rows(data):
+    tree = train(data, rounds=1, leaves=12).trees[0][0].arrays()
+    bins = np.random.default_rng(4).integers(0, 64, (500, len(FEATURES))).astype(np.uint8)
+    assert boosting.leaf_of_columns(np.ascontiguousarray(bins.T), *tree).tolist() == boosting.leaf_of(bins, *tree).tolist()
+
+
+def test_trees_are_not_applied_again_for_each_look(spark, data, monkeypatch):
+    """Nodes are looked at several times a round; a tree is applied to the residuals once."""
+    plans = []
+    kept = type(data).persist
+    monkeypatch.setattr(type(data), "persist", lambda df, *a: plans.append(df) or kept(df, *a))
+    train(data, rounds=5, rows_in_task=0)
+    assert len(plans) == 4 and not any(df.is_cached for df in plans)
+
+
 def test_limits(spark, data):
     deep = train(data, depth=2, leaves=31)
     assert all(t.arrays()[4] <= 2 and len(t.way) <= 7 for r in deep.trees for t in r)
