@@ -178,6 +178,18 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return in_batches(keys.sortWithinPartitions("key", "fp"), link_batches(max_bits), "a long, b long").distinct()
 
 
+def linked_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """``a``, ``b``: ids of rows whose fingerprints are linked; rows of one fingerprint are linked to its smallest id only."""
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.write(in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
+                                      fingerprint_batches(shingle), "id long, fp long"), "simhash")
+    nodes = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
+    same = marked.join(nodes, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = [nodes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b")]
+    apart = links(nodes.select("fp"), max_bits).join(ends[0], "a").join(ends[1], "b").select("first_a", "first_b")
+    return scratch.write(same.union(apart).filter("a <> b").distinct(), "simhash-pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp`` (signed), ``component`` (smallest id reachable by links)."""

@@ -8,7 +8,7 @@ from test_resemblance import brute as brute_near
 from test_suffixes import brute as brute_repeats
 
 import corpus_pipeline
-from offerrank.llm import packing, toxicity
+from offerrank.llm import packing, simhash, toxicity
 from offerrank.llm.common import WORD
 
 SF = "/root/testdata/sf0.01"
@@ -45,6 +45,23 @@ def test_near_duplicates(stages):
     assert sorted(stages[2]) == sorted(rows[i] for i in want)
 
 
+def test_pairs_of_close_fingerprints_are_checked_without_a_shared_band(spark, tmp_path, monkeypatch):
+    """SimHash brings pairs to the exact check by itself; those below a likeness of 0.8 do not pass it."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    common = "one two three four five " * 60
+    texts = {7: common + words("a", 12), 3: common + words("b", 12), 4: words("c", 400), 8: words("c", 400) + " more", 9: "ONE " + words("c", 400)}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = {frozenset(r) for r in simhash.linked_ids(docs).collect()}
+    assert {frozenset((3, 7)), frozenset((4, 8)), frozenset((4, 9))} <= pairs and all(a in texts for p in pairs for a in p)
+
+    def no_bands(batches):
+        import pyarrow as pa
+        for b in batches:  # no two rows share a key
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), pa.array([0] * b.num_rows, pa.int32())], ["key", "node", "band"])
+    monkeypatch.setattr(corpus_pipeline.resemblance, "band_batches", no_bands)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()) == [3, 4, 7]
+
+
 def test_repeats(stages):
     before = {r.doc_id: r for r in stages[2]}
     removed = {i: (n, gone) for i, n, gone, _, _ in brute_repeats([(r.doc_id, r.text) for r in stages[2]])}
