@@ -132,3 +132,30 @@ def test_binning(spark):
     edges = boosting.feature_edges(df, FEATURES)
     assert edges[0].tolist() == [0.0, 1.0, 2.0, 3.0] and len(edges[1]) == boosting.BINS - 1 and len(edges[2]) == len(edges[3]) == 0
     assert np.allclose(edges[1], np.quantile(np.arange(1000), np.arange(1, 64) / 64))
+
+
+def test_targets_in_tasks_of_their_own_make_the_same_trees(data, monkeypatch):
+    """As by jobs for every round, on several blocks and with a sample of rows and features."""
+    settings = {"rounds": 7, "row_share": 0.8, "feature_share": 0.75, "weight": "w"}
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 50)
+    whole = train(data.repartition(3), **settings)
+    monkeypatch.setattr(boosting, "ROWS_WHOLE", 0)
+    for rows_in_task in (None, 100):
+        apart = train(data.repartition(3), rows_in_task=rows_in_task, **settings)
+        assert list(apart.nodes()) == list(whole.nodes())
+
+
+def test_jobs_do_not_grow_with_rounds(spark, data):
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        train(data, rounds=rounds)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}"))
+    few, many = jobs(2), jobs(9)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert few == many
+
+
+def test_rows_are_dealt_to_a_task_for_each_target(spark):
+    keys = boosting.key_of_each_part(spark, 16)
+    dealt = spark.createDataFrame([(k,) for k in keys], "key long").repartition(16, "key")
+    assert dealt.selectExpr("spark_partition_id() p").distinct().count() == 16
