@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerrank.operators import learn, ranking, scoring
-from offerrank.operators.treeshap import explain_trees, feature_vector, leaf_table, shapley_values
+from offerrank.operators.treeshap import add_from_tables, explain_trees, feature_vector, leaf_table, pattern_tables, shapley_values
 
 NODES = pd.DataFrame(  # two trees; feature 0 is split twice on one path
     [(0, 1.0, 0, 0.0, 100.0, 1, 2, 0, 5.0), (0, 1.0, 1, 1.0, 60.0, -1, -1, -1, None),
@@ -49,6 +49,16 @@ def test_tree_shapley_equals_brute_force():
         assert got.sum() == pytest.approx(expectation(row, {0, 1, 2, 3}) - expectation(row, set()), abs=1e-9)
 
 
+def test_leaves_by_table_equal_leaves_by_met_patterns():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.uniform(size=(50, 4)) < 0.1, np.nan, rng.integers(0, 20, (50, 4)) / 2)
+    leaves = leaf_table(NODES)
+    phi = np.zeros(x.shape)
+    add_from_tables(leaves, pattern_tables(leaves), x, phi)
+    assert phi == pytest.approx(shapley_values(leaves, x, {}), abs=1e-12)
+    assert shapley_values(leaves, x) == pytest.approx(phi, abs=1e-12)
+
+
 @pytest.fixture(scope="module")
 def trained(pipeline):
     names = ["age", "risk_score", "has_diabetes", "total_claims_count", "high_risk_flag"]
