@@ -144,6 +144,18 @@ def test_encoder_of_many_labels(spark):
     assert LabelEncoder.fit(df, ["v"]).encode(df, ["v"]).where("v_encoded = id").count() == 1001
 
 
+def test_few_labels_need_no_join(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "v STRING, id INT")
+    encoded = LabelEncoder.fit(df, ["v"]).encode(df, ["v"])
+    assert "Join" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.v_encoded for r in encoded.collect()} == {1: 2, 2: 1, 3: 0}
+
+
+def test_code_too_long_for_the_compiler_is_not_run_whole(spark, pipeline):
+    """The JVM only interprets methods of over 8,000 bytes."""
+    assert pipeline.features is not None and int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
 def test_columns(pipeline):
     assert len(fx.FEATURES) == 96 and len(set(fx.FEATURES)) == 96
     assert pipeline.features.columns == ["member_id", *fx.FEATURES]
