@@ -85,6 +85,17 @@ def test_lookup_pushes_the_member_into_the_scan(spark, pipeline, tmp_path):
     assert reports.search_members(spark.read.parquet(str(tmp_path / "s")), "0_1", 3).count() == 3
 
 
+def test_lookup_table_deals_members_out_before_they_are_explained(spark, pipeline, monkeypatch):
+    """Range bounds are then taken from the ids alone, and a member's offers and factors are made once."""
+    written = []
+    monkeypatch.setattr("offerrank.plans.workspace.write_serving", lambda df, path: written.append(df) or df.write.parquet(path))
+    serving = Pipeline.serving.func(pipeline)
+    lines = plan(written[0]).splitlines()
+    at = [next(i for i, line in enumerate(lines) if word in line) for word in ("Generate", "rangepartitioning", "Scan parquet")]
+    assert at == sorted(at)
+    assert serving.exceptAll(pipeline.consolidated()).isEmpty() and serving.count() == pipeline.consolidated().count()
+
+
 def test_each_child_table_is_read_once(pipeline):
     """Claims twice: the second time only for the few diagnoses that are not declared."""
     for name, build, times in (("claims", features.claim_features, 2), ("benefits", features.benefit_features, 1),
