@@ -159,3 +159,19 @@ def test_rows_are_dealt_to_a_task_for_each_target(spark):
     keys = boosting.key_of_each_part(spark, 16)
     dealt = spark.createDataFrame([(k,) for k in keys], "key long").repartition(16, "key")
     assert dealt.selectExpr("spark_partition_id() p").distinct().count() == 16
+
+
+@pytest.mark.parametrize("sizes", [[64, 2, 3, 64, 7], [64, 64, 63], [5, 8, 8, 1, 9]])
+def test_sums_of_many_rows_on_squares(sizes):
+    rng = np.random.default_rng(2)
+    columns = np.stack([rng.integers(0, n, 3000) for n in sizes]).astype(np.uint8)
+    bins = boosting.Histograms([np.arange(n - 1.0) for n in sizes])
+    codes, mask, q, slot = bins.codes(columns), np.arange(len(sizes)), rng.integers(-9**9, 9**9, 3000).astype(float), rng.integers(0, 2, 3000)
+    assert len(codes) <= -(-len(sizes) // 2) and codes.itemsize == 2  # before: a code of 8 bytes for each group
+    for rows, w in ((None, None), (np.arange(0, 3000, 2), None), (np.arange(0, 3000, 2), np.ones(1500) * 3)):
+        at = np.arange(3000) if rows is None else rows
+        want = np.zeros((2, 2, bins.width))
+        for f, start in enumerate(bins.starts):
+            np.add.at(want[0], (slot[at], start + columns[f, at]), q[at])
+            np.add.at(want[1], (slot[at], start + columns[f, at]), 1.0 if w is None else w)
+        assert np.array_equal(bins.of(columns, codes, rows, q[at], w, mask, slot[at], 2), want)

@@ -89,3 +89,17 @@ def test_hash_split_of_repeated_keys(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("member_id"))
     marked = first_by_hash(df, "member_id", 0.3).where("is_first")
     assert marked.count() in range(1500, 1500 + 4000) and marked.where("member_id = 'hot'").count() in (0, 4000)
+
+
+def test_a_value_meets_its_bucket_once(spark):
+    """However many quantiles are asked for: joined by bucket, and the quantiles only after values are counted."""
+    df = spark.range(5000).select((F.col("id") % 3).cast("double").alias("few"), F.sqrt("id").alias("many"))
+    wanted = exact_quantiles(df, ["few", "many"], [k / 64 for k in range(1, 64)])
+    plan = wanted._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "Join Inner" in line][-1]
+    assert "_bucket" in first and "prob" not in first.split("Join Inner")[0]
+    assert "Aggregate" in plan and plan.count("Join Inner") == 2
+    got = {(r["column"], r["prob"]): r["value"] for r in wanted.collect()}
+    for k in range(1, 64):
+        assert got["few", k / 64] == np.quantile(np.arange(5000) % 3, k / 64)
+        assert got["many", k / 64] == pytest.approx(np.quantile(np.sqrt(np.arange(5000)), k / 64), rel=1e-12)
