@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerrank.llm.common import Scratch, components, in_batches, runs, table, whole_groups
+from offerrank.llm.common import Scratch, components, in_batches, runs, table, text_hash, whole_groups
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 MAX_BITS = 4
@@ -61,7 +61,7 @@ def fingerprint_batches(shingle: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
     return work
 
 
@@ -192,16 +192,17 @@ def linked_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``fp`` (signed), ``component`` (smallest id reachable by links)."""
+    """One row per row of ``docs``: ``id``, ``fp`` (signed), ``component`` (smallest id reachable by links), ``text_hash`` (XXH64)."""
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.write(in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                                      fingerprint_batches(shingle), "id long, fp long"), "simhash")
+    marked = scratch.write(in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col)),
+                                      fingerprint_batches(shingle), "id long, fp long, text_hash long"), "simhash")
     nodes = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     found = components(links(nodes.select("fp"), max_bits), scratch, "simhash-links")
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
     rooted = scratch.write(rooted.select("fp", "first", "root"), "simhash-roots")
     first = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return marked.join(rooted.select("fp", "root").join(first, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    named = rooted.select("fp", "root").join(first, "root").select("fp", "component")
+    return marked.join(named, "fp").select("id", "fp", "component", "text_hash")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

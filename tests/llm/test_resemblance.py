@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from offerrank.llm import resemblance
+from offerrank.llm import resemblance, simhash
 
 
 def chains(text):
@@ -91,6 +91,33 @@ def test_links_of_a_group_are_fewer_than_its_rows():
     assert sum(b.num_rows for b in links) < n and sum(b.num_rows for b in links) > n // 2
 
 
+def as_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    one, two, three = (" ".join(f"{name}{k}" for k in range(60)) for name in "abc")
+    docs = as_docs(spark, [(5, two), (5, one), (5, one), (3, one), (5, three), (9, two + " more")])
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, one), (5, two), (5, three)]
+
+
+def test_texts_of_one_fingerprint_are_all_compared(spark, tmp_path, monkeypatch):
+    """Not only with the smallest id among them, which is unlike the others here."""
+    import pyarrow as pa
+    common = "one two three four five " * 400
+    a, b = (" ".join(f"{name}{k}" for k in range(40)) for name in "ab")
+    rows = [(1, common + a), *((k, common + b + " more" * (k - 2)) for k in range(2, 5))]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 1
+
+    def no_bands(batches):
+        for batch in batches:  # no two rows share a key
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), pa.array([0] * batch.num_rows, pa.int32())], ["key", "node", "band"])
+    monkeypatch.setattr(resemblance, "band_batches", no_bands)
+    kept = corpus_pipeline.one_of_each_group(spark, as_docs(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, " "), (None, "only null here"), (None, "only null here"), (5, "one two three four five six"), (5, "one two three four five six"),
             (6, "One two  three four five six"), (7, "Ä " * 40_000), (8, "Ä " * 39_999 + "Ö")]
