@@ -252,3 +252,12 @@ def test_a_table_with_a_crowded_member_is_not_put_in_buckets(spark):
         assert spark.table(f"crowd.{name}").exceptAll(df).isEmpty() and spark.table(f"crowd.{name}").count() == df.count()
     assert "SelectedBucketsCount" in plan(spark.table("crowd.even").groupBy("member_id").count())
     spark.sql("DROP SCHEMA crowd CASCADE")
+
+
+def test_predictions_of_all_members_are_not_broadcast(pipeline):
+    """The size that is guessed for them is far too small: 42 MB were broadcast of 15,000 members."""
+    model = pipeline.train(2)
+    bases = queries.tree_bases(pipeline, model)
+    assert "SortMergeJoin [member_id" in plan(bases) and "BroadcastHashJoin [member_id" not in plan(bases)
+    rows = bases.collect()
+    assert len(rows) == pipeline.model_pairs(model).count() and len({(r.offer_id, round(r.base, 6)) for r in rows}) == len({r.offer_id for r in rows})
