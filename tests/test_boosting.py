@@ -175,3 +175,22 @@ def test_sums_of_many_rows_on_squares(sizes):
             np.add.at(want[0], (slot[at], start + columns[f, at]), q[at])
             np.add.at(want[1], (slot[at], start + columns[f, at]), 1.0 if w is None else w)
         assert np.array_equal(bins.of(columns, codes, rows, q[at], w, mask, slot[at], 2), want)
+
+
+def test_a_tree_needs_only_the_joint_bins_of_its_rows():
+    """A target's task holds no column of bins: 2 bytes for each square and row, and places of the sampled rows."""
+    rng, sizes = np.random.default_rng(6), [64, 2, 5, 1, 30, 2, 64, 3, 14]
+    bins = boosting.Histograms([np.arange(n - 1.0) for n in sizes])
+    n = 2 * boosting.ROWS_PER_SUM + 500
+    columns = np.stack([rng.integers(0, k, n) for k in sizes]).astype(np.uint8)
+    codes, mask, keep = bins.codes(columns), np.array([0, 1, 2, 4, 6, 7, 8]), np.flatnonzero(rng.random(n) < 0.8)
+    assert codes.nbytes < columns.nbytes
+    q = np.rint((3.0 * (columns[0] > 20) + columns[2] * (columns[6] > 9) + rng.normal(size=n)) * UNIT)
+    for w in (np.ones(n), rng.integers(1, 4, n).astype(float)):
+        want = bins.grow(columns[:, keep], q[keep] * w[keep], w[keep], mask, 30, None, "").final(30, None)
+        have = bins.grow(None, q * w, w, mask, 30, None, "", codes, keep).final(30, None)
+        assert have.sums == want.sums and all(np.array_equal(a, b) for a, b in zip(have.arrays(), want.arrays()))
+        leaf = np.full(n, -1)
+        for k, at in bins.leaves(codes, *have.arrays()[:4]):
+            leaf[at] = k
+        assert len(have.way) > 20 and leaf.tolist() == boosting.leaf_of_columns(columns, *have.arrays()).tolist()
